@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: A word is a maximal run of characters other than space, tab, line feed, VT, FF and CR.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 #: A-Z to a-z and nothing else.
@@ -62,5 +64,7 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Bound the bytes that one Arrow batch holds, as texts may be very long."""
+    """Bound the bytes that one Arrow batch holds, as texts may be very long; give the Python
+    workers this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
