@@ -17,6 +17,7 @@ together; an empty table gives no files and no rows; further columns are ignored
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ PART_KEYS = 4096
 #: Room for a key in a level, in bits, and the salts of the two hashes.
 GAMMA = 1.7
 #: Segments that a task remembers the ids of.
-MEMO = 300_000
+MEMO = 700_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -75,21 +76,29 @@ class Store:
             return f.read() if length is None else f.read(length)
 
 
-def segments(text: str) -> list[str]:
-    """The text cut before single spaces between other characters. The tokenizer cuts there as
-    well, so that ids of the segments, joined, are the ids of the text."""
+def segments(text: str) -> tuple[str, list[str]]:
+    """The text cut before single spaces between other characters: the first segment, and the
+    others without their space. The tokenizer cuts there as well, so that ids of the segments,
+    joined, are the ids of the text."""
     raw = text.split(" ")
-    out = [raw[0]]
+    if all(raw) and list(map(str.strip, raw)) == raw:
+        return raw[0], raw[1:]
+    first, rest = raw[0], []
     for before, piece in zip(raw, raw[1:]):
         if before and piece and not before[-1].isspace() and not piece[0].isspace():
-            out.append(" " + piece)
+            rest.append(piece)
+        elif rest:
+            rest[-1] += " " + piece
         else:
-            out[-1] += " " + piece
-    return out
+            first += " " + piece
+    return first, rest
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file of the tokenizers library, each distinct segment once."""
+    """Encodes texts with a tokenizer file of the tokenizers library, each distinct segment once.
+
+    Distinct segments are encoded many at a time with a special token between them, at which the
+    library cuts before anything else."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -97,19 +106,45 @@ class Encoder:
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.type).tobytes()
+        self.end = self.bytes([end_id])
+        special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
+
+    def bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.type).tobytes()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text on its own."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), 2000):
+            part = texts[at : at + 2000]
+            if self.mark is None or any(self.mark in t for t in part):
+                out += [self.bytes(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                continue
+            all_ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids)
+            cuts, raw, w = np.flatnonzero(all_ids == self.mark_id), all_ids.astype(self.type).tobytes(), self.type.itemsize
+            out += [raw[a:b] for a, b in zip([0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(raw)])]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [segments(t) for t in texts]
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list({s for x in cut for s in x if s not in self.memo})
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[s] = np.array(e.ids, self.type).tobytes()
+            for s in list(itertools.islice(self.memo, MEMO // 2)):  # the oldest; common ones soon return
+                del self.memo[s]
+        new = list(set().union(*(rest for _, rest in cut)) - self.memo.keys())
+        self.memo.update(zip(new, self.ids([" " + s for s in new])))
         get = self.memo.__getitem__
-        return [b"".join(map(get, x)) + self.end for x in cut]
+        return [first + b"".join(map(get, rest)) + self.end for first, (_, rest) in zip(self.ids([first for first, _ in cut]), cut)]
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """This Python worker's encoder; later tasks find what it remembers."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -190,7 +225,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, shards: in
     shards = shards or max(1, docs.rdd.getNumPartitions())
 
     def encoded(batches):
-        encoder, store = Encoder(tokenizer, end_id), Store(out)
+        encoder, store = encoder_of(tokenizer, end_id), Store(out)
         shard, lengths, keys = TaskContext.get().partitionId(), [], []
 
         def payload():
