@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, common, mixing, secret_scan, suffix_dedup, token_output
+from . import brown_lm, common, jaccard, mixing, secret_scan, suffix_dedup, token_output
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("spans") - F.size("base")).cast("long").alias("n_random"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(common.table(spark, sf_dir, "documents"))
+
+
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(common.table(spark, sf_dir, "documents"))
 
