@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown_lm, common, decontaminate, jaccard, mixing, quality, secret_scan, suffix_dedup, token_output
+from . import ann, brown_lm, common, decontaminate, html_extract, jaccard, mixing, quality, secret_scan, suffix_dedup, token_output
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score(common.table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.main_text(common.table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
