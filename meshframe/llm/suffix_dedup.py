@@ -36,7 +36,8 @@ from . import common
 
 WINDOW, GRAM = 200, 64
 SPAN = WINDOW - GRAM + 1  # grams in a window
-GROUP = 256
+#: Surroundings of a gram that one task puts in order, and those that are compared pair by pair.
+GROUP, PAIRS = 20_000, 48
 SHALLOW = 32
 CTX = (WINDOW + SPAN - 1 + 7) // 8 * 8
 _TABLE = np.random.default_rng(20240601).integers(0, 2**64, 256, np.uint64, endpoint=False)
@@ -215,6 +216,25 @@ def _between(prefix: np.ndarray) -> np.ndarray:
     return out + out.T
 
 
+def _by_offset(items, rank, fore_common, back_common, a, lo, hi):
+    """Shared windows of one group, offset by offset: windows that start d bytes before their
+    anchors are equal if the anchors' suffixes agree in WINDOW - d bytes and the prefixes in d,
+    and either order tells which do. items in right order, rank: their places in left order."""
+    back, least = (a - lo)[items], (a - hi)[items]
+    out = np.zeros((int(back.max()) + 2, len(items)), bool)
+    for d in range(int(least.min()), int(back.max()) + 1):
+        live = np.flatnonzero((least <= d) & (d <= back))
+        right = np.cumsum(fore_common < WINDOW - d)[live]
+        left = np.cumsum(back_common < d)[rank[live]]
+        _, which, n = np.unique(right * (len(items) + 1) + left, return_inverse=True, return_counts=True)
+        out[d, live] = n[which] > 1
+    edge = np.diff(out.astype(np.int8), axis=0, prepend=0)
+    i, first = np.nonzero(edge.T == 1)
+    _, last = np.nonzero(edge.T == -1)  # runs of offsets first to last - 1, in the same order
+    at = a[items[i]]
+    return items[i], at - last + 1, at - first + WINDOW
+
+
 def shared_windows(group: np.ndarray, place: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Item numbers and byte ranges [start, end) that windows shared within a group cover. raw: the
     bytes from an item's first window to its last one's end."""
@@ -242,9 +262,12 @@ def shared_windows(group: np.ndarray, place: np.ndarray, raw: list[bytes]) -> tu
     rank = np.empty(len(group), np.int64)
     for f, m in zip(first[sizes > 2], sizes[sizes > 2]):
         items, others = by_right[f : f + m], by_left[f : f + m]
+        rank[others] = np.arange(m)
+        if m > PAIRS:
+            found.append(_by_offset(items, rank[items], fore_common[f : f + m], back_common[f : f + m], a, lo, hi))
+            continue
         reach = _between(fore_common[f : f + m])
         depth = _between(back_common[f : f + m])
-        rank[others] = np.arange(m)
         depth = depth[np.ix_(rank[items], rank[items])]
         least = np.maximum(WINDOW - reach, (back - (hi - lo))[items][:, None])
         most = np.minimum(depth, back[items][:, None])
@@ -276,10 +299,32 @@ def cut_out(raw: bytes, ranges: list) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(kept) + raw[at:], runs
 
 
+def _local(i, gram, around, place, keys):
+    """One anchor for each distinct surroundings among these texts, and the ranges of windows that
+    occur twice among them already. Hot texts and periodic ones shrink to little before they
+    meet others."""
+    order = np.lexsort((around, gram))
+    g, r = gram[order], around[order]
+    new = np.append(True, (g[1:] != g[:-1]) | (r[1:] != r[:-1]))[: len(g)]
+    group = np.cumsum(new) - 1
+    again = np.zeros(len(g), bool)
+    again[order] = np.bincount(group)[group] > 1 if len(g) else False
+    rep = order[new]
+    _, lo, hi = unpack(place)
+    lo, end, of = lo[again], hi[again] + WINDOW, i[again]
+    # Anchors of a text come in the order of their windows.
+    start = np.append(True, (of[1:] != of[:-1]) | (lo[1:] > end[:-1]))[: len(of)]
+    first = np.flatnonzero(start)
+    stop = np.append(first[1:], len(of))[: len(first)] - 1
+    spread = _join((keys[of[first]].view(np.uint64)), lo[first].astype(np.uint64)).view(np.int64)
+    return pd.concat([
+        pd.DataFrame({"gram": gram[rep].view(np.int64), "around": around[rep].view(np.int64), "key": keys[i[rep]], "place": place[rep], "local": False}),
+        pd.DataFrame({"gram": spread, "around": lo[first], "key": keys[of[first]], "place": end[stop], "local": True})])
+
+
 def _find_anchors(batches):
     def emit(texts, keys):
-        i, gram, around, place = anchors(texts)
-        return pd.DataFrame({"gram": gram.view(np.int64), "around": around.view(np.int64), "key": np.array(keys, np.int64)[i], "place": place})
+        return _local(*anchors(texts), np.array(keys, np.int64))
 
     for pdf in batches:
         texts, keys, size = [], [], 0
@@ -328,6 +373,9 @@ def _meet(batches):
         return pd.concat(out)
 
     for pdf in batches:
+        known = pdf[pdf["local"]]
+        yield pd.DataFrame({"item": False, "key": known["key"], "gram": known["around"], "place": known["place"]})
+        pdf = pdf[~pdf["local"]].drop(columns="local")
         if len(pdf):
             yield settle(pdf if held is None else pd.concat([held, pdf], ignore_index=True), True)
     if held is not None:
@@ -388,7 +436,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     owners = rows.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("copies"))
     met = common.cut(
         texts.select("text", "key").where(F.octet_length("text") >= WINDOW)
-        .mapInPandas(_find_anchors, "gram long, around long, key long, place long")
+        .mapInPandas(_find_anchors, "gram long, around long, key long, place long, local boolean")
         .repartition("gram").sortWithinPartitions("gram", "around", "key", "place")
         .mapInPandas(_meet, "item boolean, key long, gram long, place long"), "sd-met")
     # Whether too many surroundings share a gram for one task; counts by gram alone.
