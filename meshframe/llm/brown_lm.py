@@ -65,7 +65,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            ids = [None if pd.isna(i) else int(i) for i in pdf["doc_id"]]
+            ids = [None if i is None else int(i) for i in pdf["doc_id"]]
             held = np.array([held_out(i) for i in ids])
             lengths, flat = [], []
             for t in pdf["text"]:
@@ -83,7 +83,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 "hashes": [hashes.view(np.int64)], "packed": [packed], "codes": [codes.tobytes()], "train_tokens": [len(train)]})
             k += 1
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
+    return common.id_text(docs, "doc_id", "text").mapInPandas(
         run, "chunk long, doc_ids array<long>, lengths array<int>, held array<boolean>, hashes array<long>, packed array<long>, codes binary, train_tokens long")
 
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 
@@ -27,6 +28,15 @@ def words(text: str | None) -> list[str]:
     return [w for w in text.translate(_BLANKS).split(" ") if w] if text else []
 
 
+def id_text(df: DataFrame, column: str, *others) -> DataFrame:
+    """The id as text, for its way through Python: pandas makes floats of integers beside nulls."""
+    return df.select(F.col(column).cast("string").alias(column), *others)
+
+
+def id_back(df: DataFrame, like: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.col(column).cast(like.schema[column].dataType))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where
     that is unset, which only a local session may do."""

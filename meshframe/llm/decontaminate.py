@@ -156,19 +156,19 @@ def blocks(benchmark: DataFrame, size: int) -> Iterator[Index]:
 def hits(docs: DataFrame, benchmark: DataFrame, block_items: int = 5000) -> DataFrame:
     """doc_id, item_id, start and end (words of the text), n_match, n_item for each overlap."""
     common.small_batches(docs.sparkSession)
-    id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, start long, end long, n_match long, n_item long"
+    schema = "doc_id string, item_id string, start long, end long, n_match long, n_item long"
     found = None
     for index in blocks(benchmark, block_items):
 
         def run(batches, index=index):
             for pdf in batches:
-                rows = [(pdf["doc_id"].iloc[t], index.ids[i], *x) for t, i, *x in index.search(pdf["text"])]
+                rows = [(pdf["doc_id"].iloc[t], None if index.ids[i] is None else str(index.ids[i]), *x) for t, i, *x in index.search(pdf["text"])]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "n_match", "n_item"])
 
-        own = docs.select("doc_id", "text").mapInPandas(run, schema)
+        own = common.id_text(docs, "doc_id", "text").mapInPandas(run, schema)
         found = own if found is None else found.unionByName(own)
-    return docs.sparkSession.createDataFrame([], schema) if found is None else found
+    found = docs.sparkSession.createDataFrame([], schema) if found is None else found
+    return common.id_back(common.id_back(found, docs, "doc_id"), benchmark, "item_id")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = 5000) -> DataFrame:

@@ -356,6 +356,8 @@ class Pages:
 
     def article(self) -> str:
         r, parts = self.r, []
+        if r.random() < 0.1:  # a very short one
+            return self.tag(r.choice(("article", "main")), self.tag("p", self.words(1, 8), 1), 1, r.choice(("", "article content post")))
         loose = r.random() < 0.25
         if r.random() < 0.85:
             title = self.tag(r.choice(("h1", "h1", "h2")), self.words(2, 12), 1)
@@ -393,6 +395,8 @@ class Pages:
 
     def page(self) -> str:
         r = self.r
+        if r.random() < 0.04:  # nothing but an article
+            return f'<body data-keep="1">{self.article()}</body>'
         before = [self.rubbish(k) for k in ("header", "nav", "ad", "notice", "side", "form") if r.random() < {"header": 0.5, "nav": 0.8, "ad": 0.45}.get(k, 0.2)]
         after = [self.rubbish(k) for k in ("share", "comments", "side", "ad", "form", "nav", "notice", "footer") if r.random() < {"footer": 0.85, "comments": 0.4, "side": 0.35}.get(k, 0.2)]
         if r.random() < 0.3:
@@ -406,7 +410,7 @@ class Pages:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 700, seed: int = 5) -> Boosted:
+def trained(pages: int = 900, seed: int = 5) -> Boosted:
     """The model, from as many generated pages."""
     writer, x, y = Pages(seed), [], []
     for _ in range(pages):
@@ -466,5 +470,5 @@ def main_text(pages: DataFrame) -> DataFrame:
                 part = pdf.iloc[at : at + 200]
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": extract(part["html"].tolist(), model)})
 
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {id_type}, url string, text string")
+    found = common.id_text(pages, "page_id", "url", "html").mapInPandas(run, "page_id string, url string, text string")
+    return common.id_back(found, pages, "page_id")

@@ -134,8 +134,8 @@ def scores(docs: DataFrame, model: Model, seed: int = 17) -> DataFrame:
             w = model.weights(pdf["text"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "log_weight": w, "key": w + pdf["noise"]})
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", _noise(docs, seed).alias("noise")).mapInPandas(run, f"doc_id {id_type}, log_weight double, key double")
+    found = common.id_text(docs, "doc_id", "text", _noise(docs, seed).alias("noise")).mapInPandas(run, "doc_id string, log_weight double, key double")
+    return common.id_back(found, docs, "doc_id")
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, few: int = 20_000) -> float:

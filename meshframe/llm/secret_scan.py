@@ -52,14 +52,23 @@ _SETS = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in EN
 LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1)
 
 
-def _natural() -> dict[str, float]:
-    """log-probabilities of characters in identifiers and words: mostly one case, few digits."""
-    out = {chr(97 + i): math.log(0.95 * x / 100.3) for i, x in enumerate(LETTERS)}
-    out |= {c.upper(): v for c, v in out.items()}
-    return out | {c: math.log(0.004) for c in "0123456789"} | {c: math.log(0.01) for c in "+/_=-"}
+# Per cent of steps from lower case, upper case, digits and signs to each of these in
+# words and identifiers.
+STEPS = ((90, 4, 4, 2), (42, 50, 5, 3), (10, 5, 80, 5), (50, 20, 25, 5))
 
 
-_LOG = _natural()
+def _class(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def _natural() -> tuple[dict[str, float], dict[str, float]]:
+    """log-probabilities of characters in their class, and of each two characters' classes."""
+    own = {chr(97 + i): math.log(x / sum(LETTERS)) for i, x in enumerate(LETTERS)}
+    own |= {c.upper(): v for c, v in own.items()} | {c: math.log(0.1) for c in "0123456789"} | {c: math.log(0.2) for c in "+/_=-"}
+    return own, {a + b: math.log(STEPS[_class(a)][_class(b)] / 100) for a in own for b in own}
+
+
+_LOG, _STEP = _natural()
 
 
 def _normal_two_sided(z: float) -> float:
@@ -110,7 +119,7 @@ def examine(run: str, least: float = 1e-3) -> float:
     code = next((code for _, letters, code in _SETS if held <= letters), None)
     if code is None or len(body) < MIN_RUN:
         return 1.0
-    ratio = -len(body) * math.log(len(code)) - sum(map(_LOG.__getitem__, body))
+    ratio = -len(body) * math.log(len(code)) - sum(map(_LOG.__getitem__, body)) - sum(_STEP[body[i : i + 2]] for i in range(len(body) - 1))
     if held.isdisjoint("0123456789") and (body.islower() or body.isupper() or body.istitle()):
         ratio -= math.log(1e6)  # one word of letters: natural text has very many more of them
     if ratio <= 0:
@@ -174,8 +183,8 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": as_rows(0), "spans": as_rows(1)})
 
     span = "array<struct<kind:string,start:long,end:long>>"
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, base {span}, spans {span}")
+    found = common.id_text(docs, "doc_id", "text").mapInPandas(run, f"doc_id string, base {span}, spans {span}")
+    return common.id_back(found, docs, "doc_id")
 
 
 def sha256(text: str) -> str:
