@@ -25,10 +25,15 @@ def wrap_int8(x: Column) -> Column:
 
 
 def two_decimals(x: Column) -> Column:
-    """x to two decimals; exact ties go to the even digit."""
+    """x to two decimals as C's printf rounds it: by the exact value of the double, and exact ties
+    to the even digit. Where x * 100 looks like a tie, the product's own error decides."""
     y = x * 100
     low = F.floor(y)
-    up = (y - low > 0.5) | ((y - low == 0.5) & (F.pmod(low, F.lit(2)) == 1))
+    big = x * 134217729.0
+    high = big - (big - x)
+    error = (high * 100 - y) + (x - high) * 100
+    tie = (error > 0) | ((error == 0) & (F.pmod(low, F.lit(2)) == 1))
+    up = (y - low > 0.5) | ((y - low == 0.5) & tie)
     return (low + up.cast("bigint")) / 100.0
 
 

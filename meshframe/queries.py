@@ -20,8 +20,10 @@ GRAM = f"{CELLS}, gram AS (SELECT a.c AS r, b.c AS c, CAST(sum(a.v * b.v) AS BIG
 
 
 def _cents(x: str) -> str:
-    low = f"floor({x} * 100)"
-    return f"({low} + CASE WHEN {x} * 100 - {low} > 0.5 OR ({x} * 100 - {low} = 0.5 AND {low} % 2 = 1) THEN 1 ELSE 0 END) / CAST(100 AS DOUBLE)"
+    low, big = f"floor({x} * 100)", f"({x} * CAST(134217729 AS DOUBLE))"
+    high = f"({big} - ({big} - {x}))"
+    error = f"(({high} * 100 - {x} * 100) + ({x} - {high}) * 100)"
+    return f"({low} + CASE WHEN {x} * 100 - {low} > 0.5 OR ({x} * 100 - {low} = 0.5 AND ({error} > 0 OR ({error} = 0 AND {low} % 2 = 1))) THEN 1 ELSE 0 END) / CAST(100 AS DOUBLE)"
 
 
 def query(sql: str | None = None):
