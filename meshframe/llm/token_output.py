@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -94,6 +95,22 @@ def segments(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+_HEAD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+
+
+def pieces(segment: str) -> tuple[str, ...]:
+    """The segment cut after its first letters, where an ASCII character that is none follows, and
+    around a line feed between other characters. The tokenizer cuts there as well."""
+    m = _HEAD.match(segment)
+    if m is None or (k := m.end()) == len(segment) or segment[k] >= "\x80":
+        return (segment,)
+    head, rest = segment[:k], segment[k:]
+    a, feed, b = rest.partition("\n")
+    if feed and a and b and not a[-1].isspace() and not b[0].isspace():
+        return head, a, feed, b
+    return head, rest
+
+
 class Encoder:
     """Encodes texts with a tokenizer file of the tokenizers library, each distinct segment once.
 
@@ -104,7 +121,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.plain = Tokenizer.from_file(path), {}, {}  # with a space before, and without
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = self.bytes([end_id])
         special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
@@ -126,15 +143,47 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(raw)])]
         return out
 
+    def learn(self, segments_: list[str]) -> None:
+        """Remember the ids of segments that stand after a space."""
+        whole, parts = [], {}
+        for s in segments_:
+            if s.isalpha() or len(x := pieces(s)) == 1:
+                whole.append(s)
+            else:
+                parts[s] = x
+        heads = {x[0] for x in parts.values()}.difference(whole)
+        whole += [h for h in heads if h not in self.memo]
+        self.memo.update(zip(whole, self.ids([" " + s for s in whole])))
+        others = list({p for x in parts.values() for p in x[1:]} - self.plain.keys())
+        self.plain.update(zip(others, self.ids(others)))
+        for s, x in parts.items():
+            self.memo[s] = self.memo[x[0]] + b"".join([self.plain[p] for p in x[1:]])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [segments(t) for t in texts]
-        if len(self.memo) > MEMO:
-            for s in list(itertools.islice(self.memo, MEMO // 2)):  # the oldest; common ones soon return
-                del self.memo[s]
-        new = list(set().union(*(rest for _, rest in cut)) - self.memo.keys())
-        self.memo.update(zip(new, self.ids([" " + s for s in new])))
-        get = self.memo.__getitem__
-        return [first + b"".join(map(get, rest)) + self.end for first, (_, rest) in zip(self.ids([first for first, _ in cut]), cut)]
+        for memo in (self.memo, self.plain):
+            if len(memo) > MEMO:
+                for s in list(itertools.islice(memo, MEMO // 2)):  # the oldest; common ones soon return
+                    del memo[s]
+        first, flat, n = [], [], []
+        for t in texts:
+            # factorize() reads strings to their first NUL; texts that have one stay whole.
+            head, rest = (t, []) if "\0" in t else segments(t)
+            first.append(head)
+            flat += rest
+            n.append(len(rest))
+        codes, distinct = pd.factorize(np.array(flat, dtype=object))
+        self.learn([s for s in distinct if s not in self.memo])
+        raw = [self.memo[s] for s in distinct]
+        width = self.type.itemsize
+        size = np.array([len(x) for x in raw], np.int64) // width
+        begin, each = np.cumsum(size) - size, size[codes]
+        done = np.cumsum(each)
+        at = np.repeat(begin[codes] - done + each, each)
+        at += np.arange(len(at))
+        body = np.frombuffer(b"".join(raw), self.type)[at].tobytes()
+        ends = np.append(0, done)[np.cumsum(n)] * width if n else []
+        starts = [0, *ends[:-1]] if n else []
+        return [head + body[a:b] + self.end for head, a, b in zip(self.ids(first), starts, ends)]
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -288,13 +337,14 @@ def lookup(keys: DataFrame, out: str, parts: int) -> DataFrame:
         ok = slot >= 0
         ok[ok] = slots["fingerprint"][slot[ok]] == fingerprints(keys[ok])
         got = slots[slot[ok]]
-        return pd.DataFrame({"doc_id": pdf["doc_id"][ok].array, "shard": got["shard"].astype(np.int32), "ordinal": got["ordinal"].astype(np.int64), "rows": got["rows"].astype(np.int64)})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[ok], "shard": got["shard"].astype(np.int32), "ordinal": got["ordinal"].astype(np.int64), "rows": got["rows"].astype(np.int64)})
 
-    return (
-        keys.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"))
+    places = (
+        common.id_text(keys, "doc_id", _key().alias("key"))
         .withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
-        .groupBy("part").applyInPandas(found, "doc_id long, shard int, ordinal long, rows long")
+        .groupBy("part").applyInPandas(found, "doc_id string, shard int, ordinal long, rows long")
     )
+    return common.id_back(places, keys, "doc_id")
 
 
 def fetch(places: DataFrame, manifest: DataFrame, out: str) -> DataFrame:
@@ -310,12 +360,13 @@ def fetch(places: DataFrame, manifest: DataFrame, out: str) -> DataFrame:
         n = pdf["rows"].to_numpy()
         at = np.repeat(pdf["ordinal"].to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         crc = [zlib.crc32(payload[begin[i] : begin[i] + lengths[i]].astype("<u4").tobytes()) for i in at]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].repeat(n).array, "start": begin[at] + int(pdf["first_token"].iloc[0]), "n_tokens": lengths[at], "ids_crc32": crc})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy().repeat(n), "start": begin[at] + int(pdf["first_token"].iloc[0]), "n_tokens": lengths[at], "ids_crc32": crc})
 
-    return (
-        places.join(F.broadcast(manifest), "shard")
-        .groupBy("shard").applyInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = (
+        common.id_text(places, "doc_id", "shard", "ordinal", "rows").join(F.broadcast(manifest), "shard")
+        .groupBy("shard").applyInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
     )
+    return common.id_back(found, places, "doc_id")
 
 
 def encode_and_read_back(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
