@@ -161,15 +161,15 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0, block_word
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them: whole passes, and one more with the
     chance of the remainder, which doc_id alone decides. Columns as in docs."""
-    spare = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
-    work = docs.select("doc_id", "text", "source", row)
-    taken = mix(work, keep=("row_",), **options)
+    rid = "__rid__"
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    taken = mix(rows.select("doc_id", "text", "source", rid), keep=(rid,), **options)
     share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1.0))
+    spare = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = (F.floor(share) + F.when(spare < share - F.floor(share), 1).otherwise(0)).cast("int")
+    counts = common.cut(taken.select(rid, copies.alias("__copies__")).where("__copies__ > 0"), "mix-copies")
     return (
-        taken.withColumn("copies_", copies)
-        .where("copies_ > 0")
-        .withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_"))))
-        .select("row_.*")
+        rows.join(counts, rid)
+        .withColumn("__copy__", F.explode(F.sequence(F.lit(1), F.col("__copies__"))))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
