@@ -73,6 +73,19 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def trim() -> None:
+    """Give back what earlier tasks of this Python worker freed; workers outlive tasks."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
     """Bound the bytes that one Arrow batch holds, as texts may be very long; give the Python
     workers this package."""

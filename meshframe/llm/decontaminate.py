@@ -155,7 +155,7 @@ def blocks(benchmark: DataFrame, size: int) -> Iterator[Index]:
 
 def hits(docs: DataFrame, benchmark: DataFrame, block_items: int = 5000) -> DataFrame:
     """doc_id, item_id, start and end (words of the text), n_match, n_item for each overlap."""
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, 4)
     schema = "doc_id string, item_id string, start long, end long, n_match long, n_item long"
     found = None
     for index in blocks(benchmark, block_items):
@@ -173,7 +173,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_items: int = 5000) -> Data
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = 5000) -> DataFrame:
     """The rows of docs without any overlap; all columns as they are."""
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, 4)
     for index in blocks(benchmark, block_items):
 
         def run(batches, index=index):
@@ -182,6 +182,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_items: int = 5000) -> Dat
                 for t, *_ in index.search(batch.column("text").to_pylist()):
                     keep[t] = False
                 yield batch.filter(pa.array(keep))
+            common.trim()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -86,7 +86,7 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 50_000) -> Model:
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, 3)
     marked = (
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("good_"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
@@ -94,6 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 50_000) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id", "left").select("text", "good_")
 
     def counted(batches):
+        common.trim()
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for pdf in batches:
             buckets, text = grams(pdf["text"])
@@ -188,5 +189,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFr
             w = model.weights(batch.column("text").to_pylist())
             keep = w + batch.column(noise).to_numpy() >= least
             yield batch.drop_columns([noise]).filter(pa.array(keep))
+        common.trim()
 
     return docs.withColumn(noise, _noise(docs, seed)).mapInArrow(run, docs.schema)
