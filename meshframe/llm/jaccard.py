@@ -13,10 +13,10 @@ and a linking pair must share shingles in the first quarter of both ordered sets
    sets below it, leaves subtrees that the remaining lengths can't lift to the threshold, and
    those whose sets are in the traversing set's component already. Large blocks are split, with
    one common set in every part.
-4. Only sets of different components that share a shingle are left: their pairs must share so
-   many of the first quarters' shingles as the sizes demand, and the tries of each set with its
-   remaining partners decide. So no link between components is lost, and groups of near copies
-   never become pairs.
+4. Only sets of different components that share a shingle are left. They must share so many of the
+   first quarters' shingles as the sizes demand; a set meets the single sets that pass in a trie,
+   and components of many sets in a grid of parts. So no link between components is lost, and
+   groups of near copies never become pairs.
 
 Odd cases: null and empty texts have empty sets, and are linked with nothing; a null doc_id joins
 like any other but is no component_id while its component has another; equal rows are copies; an
@@ -36,7 +36,7 @@ from . import common
 
 N = 5
 #: Counters of the sketch, as a power of two, and the slices that carry them.
-SKETCH_BITS, SLICES = 21, 16
+SKETCH_BITS, SLICES = 23, 16
 #: Sets in a block at most, but for the one that all parts of a block share.
 BLOCK = 400
 LEVEL_SHIFT, HASH_SHIFT = 58, 6
@@ -62,8 +62,8 @@ def shingle_sets(texts) -> list[np.ndarray]:
     words = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)[codes]
     runs = words.copy()
     with np.errstate(over="ignore"):
-        for k in range(1, N):
-            runs[: len(words) - k] = _mix(runs[: len(words) - k] * _MUL + words[k:]) if len(words) > k else runs[:0]
+        for k in range(1, min(N, len(words))):
+            runs[: len(words) - k] = _mix(runs[: len(words) - k] * _MUL + words[k:])
         out, at = [], 0
         for k in n:
             if k >= N:
@@ -177,30 +177,43 @@ def block_components(sets: list[np.ndarray], keys: list[int]) -> list[int]:
 
 def _counted(batches):
     """Key and size of each document's set; at the end, slices of this task's sketch."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    common.trim()
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
     for pdf in batches:
         sets = shingle_sets(pdf["text"])
-        counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS) if sets else 0
+        at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True) if sets else ((), ())
+        counts[np.asarray(at, np.int64)] += np.asarray(n, np.int32)
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "key": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64"), "slice": -1, "counts": None})
-    for i, part in enumerate(np.split(np.minimum(counts, 65535).astype(np.uint16), SLICES)):
-        yield pd.DataFrame({"doc_id": pd.array([None], dtype="Int64"), "n": 0, "key": pd.array([None], dtype="Int64"), "slice": i, "counts": [part.tobytes()]})
+    for i, part in enumerate(np.split(np.minimum(counts, 255).astype(np.uint8), SLICES)):
+        yield pd.DataFrame({"doc_id": [None], "n": 0, "key": pd.array([None], dtype="Int64"), "slice": i, "counts": [part.tobytes()]})
 
 
 def _levels(seen: DataFrame) -> np.ndarray:
     """How common each counter's shingles are: 0 for all near the mean, then powers of two."""
 
     def summed(pdf):
-        total = sum(np.frombuffer(x, np.uint16).astype(np.int64) for x in pdf["counts"])
-        return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "counts": [total.tobytes()]})
+        total = sum(np.frombuffer(x, np.uint8).astype(np.int32) for x in pdf["counts"])
+        return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "counts": [total.tobytes()], "total": [int(total.sum(dtype=np.int64))]})
+
+    sums = common.cut(seen.where("slice >= 0").select("slice", "counts").groupBy("slice").applyInPandas(summed, "slice int, counts binary, total long"), "jj-sketch")
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
+
+    def levelled(batches):
+        for pdf in batches:
+            for i, raw in zip(pdf["slice"], pdf["counts"]):
+                counts = np.frombuffer(raw, np.int32)
+                # Above what chance puts on one counter; the mean is what others put on it.
+                high = np.flatnonzero(counts > mean + 5 * mean**0.5 + 8)
+                out = np.zeros(len(counts), np.uint8)
+                out[high] = np.clip(1 + 2 * np.log2(np.maximum(counts[high] - mean, 1) / 8), 1, 60)
+                yield pd.DataFrame({"slice": [i], "levels": [out.tobytes()]})
 
     # SLICES rows of fixed size, whatever the corpus.
-    rows = seen.where("slice >= 0").select("slice", "counts").groupBy("slice").applyInPandas(summed, "slice int, counts binary").collect()
-    counts = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.int64)
-    for r in rows:
-        counts[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    counts = counts.ravel()
-    mean = max(1.0, counts.mean())
-    return np.where(counts <= 2 * mean + 32, 0, np.clip(np.log2(np.maximum(counts, 1) / mean), 1, 40)).astype(np.uint8)
+    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
+    for r in sums.select("slice", "counts").mapInPandas(levelled, "slice int, levels binary").collect():
+        out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
+    common.trim()
+    return out.ravel()
 
 
 def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -210,7 +223,7 @@ def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _shared(batches):
-    """Rows sorted by token, n and key: repeats go, and tokens that only one set has."""
+    """Rows sorted by token, place and key: repeats go, and tokens that only one set has."""
     held, linked = None, False
     for pdf in batches:
         if not len(pdf):
@@ -253,8 +266,8 @@ NO_ID = -(1 << 63)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFrame:
-    """key, set for the wanted (key, owner); only documents whose id may be an owner's are read
-    into sets, and only those travel."""
+    """(key, owner, set) with all the wanted (key, owner), and some others: only documents whose id
+    may be an owner's are read into sets, and only those travel."""
     bloom = _bloom(wanted, "owner")
 
     def run(batches):
@@ -266,8 +279,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFram
             keep = [i for i, s in enumerate(sets) if len(s)]
             yield pd.DataFrame({"key": [set_key(sets[i]) for i in keep], "owner": part["doc_id"].to_numpy()[keep], "set": [ordered(sets[i], levels).tobytes() for i in keep]})
 
-    found = docs.mapInPandas(run, "key long, owner long, set binary")
-    return found.join(wanted.select("key", "owner"), ["key", "owner"]).drop("owner")
+    return docs.mapInPandas(run, "key long, owner long, set binary")
 
 
 def _joined(docs: DataFrame, assigned: DataFrame, owners: DataFrame, levels: np.ndarray, name: str) -> DataFrame:
@@ -290,7 +302,7 @@ def _joined(docs: DataFrame, assigned: DataFrame, owners: DataFrame, levels: np.
         return pd.concat(out)
 
     return common.cut(
-        assigned.join(sets, "key").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
+        assigned.join(wanted, "key").join(sets, ["key", "owner"]).select("block", "key", "set").withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)))
         .groupBy("bucket").applyInPandas(run, "key long, label long").distinct(), f"{name}-labels")
 
 
@@ -305,9 +317,13 @@ def _parts(members: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(key, label) with the least key of each component, for all keys of the edges (key, label):
-    labels spread along edges and jump to their labels' labels until none changes."""
-    both = common.cut(edges.where("key <> label").select(F.col("key").alias("a"), F.col("label").alias("b")).unionByName(edges.where("key <> label").select(F.col("label").alias("a"), F.col("key").alias("b"))).distinct(), f"{name}-edges")
+    """(key, label) with one label for each component of the edges (key, label), for all keys.
+
+    Only labels that share a key are a graph to walk: there, least labels spread along edges and
+    jump to their labels' labels until none changes."""
+    least = common.cut(edges.groupBy("key").agg(F.min("label").alias("least")), f"{name}-least")
+    links = edges.join(least, "key").where("label <> least").select(F.col("label").alias("a"), F.col("least").alias("b")).distinct()
+    both = common.cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-links")
     labels = common.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("key"), "label"), f"{name}-0")
     step = 0
     while True:
@@ -320,17 +336,19 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         jumped = near.join(labels.select(F.col("key").alias("label"), F.col("label").alias("jump")), "label", "left")
         new = common.cut(jumped.select("key", "own", F.least("label", F.coalesce("jump", "label")).alias("label")), f"{name}-{step}")
         if not new.where("own <> label").limit(1).count():
-            return new.select("key", "label")
+            break
         labels = new.select("key", "label")
+    roots = new.select(F.col("key").alias("least"), "label")
+    return least.join(roots, "least", "left").select("key", F.coalesce("label", "least").alias("label"))
 
 
-def join(docs: DataFrame, *keep: str) -> DataFrame:
+def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, 4)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = common.cut(docs.mapInPandas(_counted, "doc_id long, n int, key long, slice int, counts binary"), "jj-seen")
-    info = seen.where("slice < 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "key")
+    seen = common.cut(common.id_text(docs, "doc_id", "text").mapInPandas(_counted, "doc_id string, n int, key long, slice int, counts binary"), "jj-seen")
+    info = seen.where("slice < 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "key")
     levels = _levels(seen)
     some = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
 
@@ -341,32 +359,63 @@ def join(docs: DataFrame, *keep: str) -> DataFrame:
                 part = sets[at : at + 500]
                 heads = [ordered(s, levels)[: len(s) - -(-3 * len(s) // 4) + 1] for s in part]
                 n = [len(h) for h in heads]
-                yield pd.DataFrame({"token": np.concatenate(heads).view(np.int64), "key": np.repeat([set_key(s) for s in part], n), "n": np.repeat([len(s) for s in part], n)})
+                yield pd.DataFrame({"token": np.concatenate(heads).view(np.int64), "key": np.repeat([set_key(s) for s in part], n), "place": np.repeat(np.array([len(s) for s in part], np.int64) << 32, n) + np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)})
+        common.trim()
 
     rows = common.cut(
-        some.select("text").mapInPandas(quarters, "token long, key long, n int")
-        .repartition("token").sortWithinPartitions("token", "n", "key")
-        .mapInPandas(_shared, "token long, key long, n int"), "jj-shared")
+        some.select("text").mapInPandas(quarters, "token long, key long, place long")
+        .repartition("token").sortWithinPartitions("token", "place", "key")
+        .mapInPandas(_shared, "token long, key long, place long"), "jj-shared"
+    ).select("token", "key", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("pos"))
     owners = info.where("key is not null").groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("owner"))
     # Sets that share a fair part of their first quarters with others, by two of the shingles.
-    groups = rows.groupBy("key", "n").agg(F.count("*").alias("c"), F.min("token").alias("t1"), F.min(F.xxhash64("token")).alias("t2")).where("20 * c >= n")
-    groups = common.cut(groups.select("key", "t1", "t2"), "jj-groups")
+    counts = common.cut(rows.groupBy("key", "n").agg(F.count("*").alias("c"), F.min("token").alias("t1"), F.min(F.xxhash64("token")).alias("t2")), "jj-counts")
+    groups = counts.where("20 * c >= n")
     members = groups.select(F.col("t1").alias("group"), "key").unionByName(groups.select(F.xxhash64("t2").alias("group"), "key"))
     first = components(_joined(some, _parts(members), owners, levels, "jj-first"), "jj-a")
-    # What is left: pairs of different components.
+    # What is left: sets and other components that share a shingle.
     w = Window.partitionBy("token")
-    marked = rows.join(first, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = common.cut(marked.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").drop("lo", "hi"), "jj-mixed")
-    x, y = (mixed.select("token", *(F.col(c).alias(c + s) for c in ("key", "n", "label"))) for s in ("_x", "_y"))
-    least = F.ceil(F.lit(3) * (F.col("n_x") + F.col("n_y")) / 7) + 1 - F.ceil(F.lit(3) * F.col("n_y") / 4)
-    pairs = (
-        x.join(y, "token").where("label_x <> label_y AND (n_x < n_y OR n_x = n_y AND key_x < key_y) AND 4 * n_x >= 3 * n_y")
-        .groupBy("key_x", "key_y", "n_x", "n_y").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    sizes = first.groupBy("label").agg(F.count("*").alias("m"))
+    known = (
+        counts.select("key", F.col("c").alias("s")).join(first.join(sizes, "label"), "key", "left")
+        .select("key", "s", F.coalesce("label", "key").alias("label"), F.coalesce("m", F.lit(1)).alias("m"))
+    )
+    # One exchange by key and one by token; all that follows up to the join stays where it is.
+    mixed = (
+        rows.join(known, "key").withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w))
+        .where("lo <> hi").drop("lo", "hi")
+    )
+    groups = mixed.groupBy("token", F.col("label").alias("other")).agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("s").alias("s_y"), F.min("pos").alias("pos_y"), F.first("m").alias("m_y"))
+    # The smaller component's sets look for the larger one; sizes of its sets in the group, as far
+    # as they can link, bound what must be shared and where it must stand.
+    overlap = lambda y: f"(3 * (n + {y}) + 6) div 7"
+    ahead = lambda y: f"({overlap(y)} + 1 - (3 * greatest(n, {y}) + 3) div 4)"
+    wanted = (
+        mixed.join(groups, "token").where("label <> other AND (m < m_y OR m = m_y AND label < other)")
+        .withColumn("lo", F.expr("greatest(lo, (3 * n + 3) div 4)")).withColumn("hi", F.expr("least(hi, 4 * n div 3)"))
+        .where(f"lo <= hi AND least(s, s_y) >= least({ahead('lo')}, {ahead('hi')}) AND pos <= n - {overlap('lo')} AND pos_y <= hi - {overlap('hi')}")
+        .select("key", "other", "m_y", F.expr(f"least({ahead('lo')}, {ahead('hi')})").alias("ahead"))
+        .groupBy("key", "other", "m_y").agg(F.min("ahead").alias("ahead"))
     )
-    pairs = common.cut(pairs.select("key_x", "key_y"), "jj-pairs")
+    wanted = common.cut(wanted, "jj-wanted")
+    single = wanted.where("m_y = 1")
+    asked = single.select("key").unionByName(single.select(F.col("other").alias("key"))).distinct()
+    own = common.cut(rows.join(asked, "key").groupBy("key").agg(F.collect_list("token").alias("tokens")), "jj-own")
+    pairs = common.cut(
+        single.join(own, "key")
+        .join(own.select(F.col("key").alias("other"), F.col("tokens").alias("tokens_y")), "other")
+        .where(F.size(F.array_intersect("tokens", "tokens_y")) >= F.col("ahead")).select(F.col("key").alias("key_x"), F.col("other").alias("key_y")), "jj-pairs")
     hubs = pairs.groupBy("key_x").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("parts"))
-    own = pairs.join(hubs, "key_x").select(F.xxhash64("key_x", F.pmod(F.xxhash64("key_y"), F.col("parts"))).alias("block"), F.col("key_x").alias("x"), F.col("key_y").alias("key"))
-    assigned = own.select("block", "key").unionByName(own.select("block", F.col("x").alias("key"))).distinct()
+    one = pairs.join(hubs, "key_x").select(F.xxhash64("key_x", F.pmod(F.xxhash64("key_y"), F.col("parts"))).alias("block"), F.col("key_x").alias("x"), F.col("key_y").alias("key"))
+    # A component of many sets meets those that look for it in a grid of parts of both.
+    seek = wanted.where("m_y > 1").select(F.col("key").alias("x"), F.col("other").alias("label"))
+    grid = seek.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("q")).join(sizes, "label").withColumn("p", F.ceil(F.col("m") / BLOCK).cast("long"))
+    name = lambda p, q: F.xxhash64(F.lit("grid"), "label", p, q)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    major = first.join(grid, "label").withColumn("k", every("q")).select(name(F.pmod(F.xxhash64("key"), F.col("p")), F.col("k")).alias("block"), "key")
+    minor = seek.join(grid, "label").withColumn("k", every("p")).select(name(F.col("k"), F.pmod(F.xxhash64("x"), F.col("q"))).alias("block"), F.col("x").alias("key"))
+    assigned = one.select("block", "key").unionByName(one.select("block", F.col("x").alias("key"))).unionByName(major).unionByName(minor).distinct()
     second = _joined(some, assigned, owners, levels, "jj-second")
     labels = components(first.unionByName(second), "jj-b")
     of = owners.join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "owner")
