@@ -61,6 +61,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     with training counts and tail elements, and the texts as numbers of distinct words."""
 
     def run(batches):
+        common.trim()
         part, k = TaskContext.get().partitionId(), 0
         for pdf in batches:
             if not len(pdf):
@@ -72,12 +73,15 @@ def chunks(docs: DataFrame) -> DataFrame:
                 w = tokens(t)
                 lengths.append(len(w))
                 flat += w
-            codes, distinct = pd.factorize(np.array(flat, dtype=object))
+            flat = np.array(flat, dtype=object)
+            codes, distinct = pd.factorize(flat)
+            del flat
             codes = codes.astype(np.uint32)
             train = codes[np.repeat(~held, lengths)]
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)
             tails = np.array([tail_element(w) for w in distinct], np.int64)
             packed = np.bincount(train, minlength=len(distinct)).astype(np.int64) << TAIL_BITS | tails
+            del distinct
             yield pd.DataFrame({
                 "chunk": [part << 32 | k], "doc_ids": [ids], "lengths": [np.array(lengths, np.int32)], "held": [held],
                 "hashes": [hashes.view(np.int64)], "packed": [packed], "codes": [codes.tobytes()], "train_tokens": [len(train)]})

@@ -25,6 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ MAGIC = b"MFSHARD1"
 PART_KEYS = 4096
 #: Room for a key in a level, in bits, and the salts of the two hashes.
 GAMMA = 1.7
-#: Segments that a task remembers the ids of.
-MEMO = 700_000
+#: Segments that a task remembers the ids of, and that it leaves to the next one.
+MEMO, CORE = 400_000, 150_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -122,6 +124,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.plain = Tokenizer.from_file(path), {}, {}  # with a space before, and without
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # each word comes once
         self.type = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = self.bytes([end_id])
         special = [(i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
@@ -143,11 +147,21 @@ class Encoder:
             out += [raw[a:b] for a, b in zip([0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(raw)])]
         return out
 
+    def forget(self, latest: int = 0) -> None:
+        """Drop all but the first CORE segments, common ones that came early, and the latest."""
+        for memo in (self.memo, self.plain):
+            for s in list(itertools.islice(memo, CORE, max(CORE, len(memo) - latest))):
+                del memo[s]
+
     def learn(self, segments_: list[str]) -> None:
         """Remember the ids of segments that stand after a space."""
         whole, parts = [], {}
         for s in segments_:
-            if s.isalpha() or len(x := pieces(s)) == 1:
+            if s.isalpha():
+                whole.append(s)
+            elif s[-1] in ",.!?" and s.isascii() and (head := s[:-1]).isalpha():  # the common case of pieces()
+                parts[s] = head, s[-1]
+            elif len(x := pieces(s)) == 1:
                 whole.append(s)
             else:
                 parts[s] = x
@@ -159,31 +173,51 @@ class Encoder:
         for s, x in parts.items():
             self.memo[s] = self.memo[x[0]] + b"".join([self.plain[p] for p in x[1:]])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for memo in (self.memo, self.plain):
-            if len(memo) > MEMO:
-                for s in list(itertools.islice(memo, MEMO // 2)):  # the oldest; common ones soon return
-                    del memo[s]
-        first, flat, n = [], [], []
-        for t in texts:
-            # factorize() reads strings to their first NUL; texts that have one stay whole.
-            head, rest = (t, []) if "\0" in t else segments(t)
-            first.append(head)
-            flat += rest
-            n.append(len(rest))
-        codes, distinct = pd.factorize(np.array(flat, dtype=object))
-        self.learn([s for s in distinct if s not in self.memo])
-        raw = [self.memo[s] for s in distinct]
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text, and the end id. Arrow cuts the texts at all spaces and finds the
+        distinct segments; texts where a space has white space beside it are cut one by one."""
+        if max(len(self.memo), len(self.plain)) > MEMO:
+            self.forget(MEMO // 3)
+        cut = pc.split_pattern(texts, " ")
+        offsets = cut.offsets.to_numpy()
+        coded = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets, codes, distinct = offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        begins, ends = offsets[:-1], offsets[1:]
+        stripped = list(map(str.strip, distinct))
+        loose = np.array([i for i, (s, x) in enumerate(zip(distinct, stripped)) if not s or s != x], np.int64)
+        bad = np.zeros(len(begins), bool)
+        if len(loose):
+            marks = np.zeros(len(distinct), bool)
+            marks[loose] = True
+            bad[np.searchsorted(ends, np.flatnonzero(marks[codes]), side="right")] = True
+            bad &= ends - begins > 1
+        rest = np.ones(len(codes), bool)
+        rest[begins] = False
+        rest &= ~np.repeat(bad, ends - begins)
+        raw: list = [b""] * len(distinct)
+        used = np.unique(codes[rest]).tolist()
+        for i, x in zip(used, map(self.memo.get, map(distinct.__getitem__, used))):
+            raw[i] = x
+        new = [i for i in used if raw[i] is None]
+        self.learn([distinct[i] for i in new])
+        for i in new:
+            raw[i] = self.memo[distinct[i]]
         width = self.type.itemsize
-        size = np.array([len(x) for x in raw], np.int64) // width
-        begin, each = np.cumsum(size) - size, size[codes]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // width
+        begin, each = np.cumsum(size) - size, np.where(rest, size[codes], 0)
         done = np.cumsum(each)
         at = np.repeat(begin[codes] - done + each, each)
         at += np.arange(len(at))
         body = np.frombuffer(b"".join(raw), self.type)[at].tobytes()
-        ends = np.append(0, done)[np.cumsum(n)] * width if n else []
-        starts = [0, *ends[:-1]] if n else []
-        return [head + body[a:b] + self.end for head, a, b in zip(self.ids(first), starts, ends)]
+        last = done[ends - 1] * width
+        starts = np.append(0, last[:-1])
+        heads = self.ids([distinct[i] for i in codes[begins].tolist()])
+        out = [h + body[a:b] + self.end for h, a, b in zip(heads, starts.tolist(), last.tolist())]
+        for i in np.flatnonzero(bad).tolist():
+            first, more = segments(texts[i].as_py())
+            self.learn([s for s in dict.fromkeys(more) if s not in self.memo])
+            out[i] = self.ids([first])[0] + b"".join(map(self.memo.__getitem__, more)) + self.end
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -269,34 +303,38 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, shards: in
     default as many as the scan has partitions, so that a shard holds what one task reads.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, 6)
     docs = docs.select("doc_id", "text")
     shards = shards or max(1, docs.rdd.getNumPartitions())
 
     def encoded(batches):
+        common.trim()
         encoder, store = encoder_of(tokenizer, end_id), Store(out)
         shard, lengths, keys = TaskContext.get().partitionId(), [], []
 
         def payload():
-            for pdf in batches:
-                ids = encoder.encode([t or "" for t in pdf["text"]])
-                lengths.extend(len(x) // encoder.type.itemsize for x in ids)
-                keys.append(pdf["key"].to_numpy())
-                yield b"".join(ids)
+            for batch in batches:
+                if batch.num_rows:
+                    ids = encoder.encode(batch.column("text"))
+                    lengths.extend(len(x) // encoder.type.itemsize for x in ids)
+                    keys.append(batch.column("key").to_numpy())
+                    yield b"".join(ids)
             n = np.array(lengths, "<u4")
             yield n.tobytes()
             yield np.array([len(n), n.sum(), encoder.type.itemsize], "<u8").tobytes() + MAGIC
 
         store.write(f"shard-{shard:06d}.ids", payload())
+        encoder.forget()
+        common.trim()
         if keys:
-            yield pd.DataFrame({"shard": shard, "key": np.concatenate(keys), "ordinal": np.arange(len(lengths)), "n": lengths})
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), shard, np.int32)), pa.array(np.concatenate(keys)), pa.array(np.arange(len(lengths))), pa.array(lengths, pa.int64())], ["shard", "key", "ordinal", "n"])
 
     rows = common.cut(
-        docs.withColumn("key", _key())
+        docs.withColumn("key", _key()).withColumn("text", F.coalesce("text", F.lit("")))
         .repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .drop("doc_id")
-        .mapInPandas(encoded, "shard int, key long, ordinal long, n long"), "token-rows")
+        .mapInArrow(encoded, "shard int, key long, ordinal long, n long"), "token-rows")
     #: One row a shard, a bounded number: a shard is as large as a scan partition.
     per_shard = sorted((r["shard"], r["n"]) for r in rows.groupBy("shard").agg(F.sum("n").alias("n")).collect())
     first = np.cumsum([0] + [n for _, n in per_shard]).tolist()
