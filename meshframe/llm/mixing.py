@@ -169,7 +169,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = (F.floor(share) + F.when(spare < share - F.floor(share), 1).otherwise(0)).cast("int")
     counts = common.cut(taken.select(rid, copies.alias("__copies__")).where("__copies__ > 0"), "mix-copies")
     return (
-        rows.join(counts, rid)
+        rows.join(counts.hint("merge"), rid)  # one row for a document: never to be broadcast
         .withColumn("__copy__", F.explode(F.sequence(F.lit(1), F.col("__copies__"))))
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -24,7 +24,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", rid)).alias("best"))
         .select(F.col(f"best.{rid}").alias(rid))
     )
-    return rows.join(common.cut(best, "distinct-rows"), rid, "left_semi").drop(rid)
+    # As many rows as documents: never to be broadcast, however small at the time.
+    return rows.join(common.cut(best, "distinct-rows").hint("merge"), rid, "left_semi").drop(rid)
 
 
 def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
