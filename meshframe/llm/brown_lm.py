@@ -1,20 +1,32 @@
 """Scoring texts with a Brown class-based bigram model.
 
 Tokens are lower-cased words (A-Z only; words end at space, tab, LF, VT, FF, CR) and one end
-token for each document. Every word belongs to one element: words that make up at least
-min_share of the training tokens are elements of their own, so there are 1 / min_share at most;
-all other words, unseen ones too, share TAIL elements by their last bytes. Exchange clustering
-moves elements between classes while the likelihood of the class bigrams rises, and
+token for each document. Every word that training has min_count times at least is clustered on its
+own, however many there are, and the number of classes grows with the cube root of their number;
+only rarer words, unseen ones too, share TAIL elements by their last bytes. Clustering has three
+steps:
+
+1. Exchange clustering of a core (words that make up min_share of the training tokens, so
+   1 / min_share at most, and the tails) moves elements between CORE classes while the likelihood
+   of the class bigrams rises.
+2. Each word takes the best core class for its neighbours, and words whose commonest neighbours
+   differ as well are told apart: the heaviest of these groups become classes of their own.
+3. In distributed rounds each word moves to the class that makes its neighbours in the whole
+   corpus likeliest; a round that does not raise the likelihood is not kept.
+
+The model is
 
     P(word | previous) = P(class | previous class) * P(word | class),
 
 both smoothed: transitions lean on the class's own frequency, emissions are add-one with one more
 slot for all unseen words of a class. Counts cover all training documents and the whole
-vocabulary; only the element tables, whose size min_share and TAIL bound, reach the driver.
+vocabulary; only the core's tables and those of the classes reach the driver.
 
 Shape of the computation: texts become chunks of word numbers, each with its own dictionary of
 64-bit word hashes. A word travels once for each chunk that has it, not once for each token; a
-window over the hash gives it its corpus count and sends that back to the chunks.
+window over the hash gives it its corpus count and sends that back to the chunks. Classes go the
+same way in each round: a chunk sends the classes beside each of its words to the word's hash,
+where they are summed, and the word's new class comes back.
 
 Odd cases: a null or empty text is the end token alone; a null doc_id counts as the empty text
 when documents are dealt to training; equal rows are separate documents; an empty table gives no
@@ -23,10 +35,12 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,6 +51,8 @@ from . import common
 
 TAIL = 512
 TAIL_BITS = 9
+#: Classes of the core, and words that one matrix product places.
+CORE, WORDS = 48, 2000
 FOLDS, HELD_OUT = 7, 2
 END = b""
 
@@ -140,18 +156,6 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     return of
 
 
-class Model:
-    """What a chunk needs to be scored; all of bounded size."""
-
-    def __init__(self, hashes, elements, of, transition, class_tokens, class_words, n_tokens, n_words):
-        self.hashes, self.elements, self.of = hashes, elements, of
-        self.transition, self.class_tokens, self.class_words = transition, class_tokens, class_words
-        self.n_tokens, self.n_words = n_tokens, n_words
-
-    def element(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
-        return elements_of(hashes, tails, self.hashes, self.elements)
-
-
 def elements_of(hashes, tails, frequent, numbers) -> np.ndarray:
     """Elements of words: 0 the end, 1 to TAIL the tails, then frequent words (sorted hashes)."""
     out = tails + 1
@@ -162,8 +166,156 @@ def elements_of(hashes, tails, frequent, numbers) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, classes: int = 48, rounds: int = 4, min_share: float = 5e-4, lean: float = 20.0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
+def class_count(n_words: int) -> int:
+    """Classes for so many words clustered on their own: the core's, and without bound by the cube root."""
+    return CORE + round(2 * n_words ** (1 / 3))
+
+
+def logs_of(joint: np.ndarray, lean: float) -> np.ndarray:
+    """Natural logarithms of the smoothed transitions from class to class."""
+    share = (joint.sum(0) + 1) / (joint.sum(0) + 1).sum()
+    return np.log((joint + lean * share) / (joint.sum(1, keepdims=True) + lean))
+
+
+def likelihood(joint: np.ndarray) -> float:
+    """Log-likelihood of the class bigrams, but for what no classes change."""
+    xlogx = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
+    return xlogx(joint) - xlogx(joint.sum(0)) - xlogx(joint.sum(1))
+
+
+def best_class(beside: np.ndarray, joint: np.ndarray, lean: float) -> np.ndarray:
+    """The class for each row of beside: counts of the next, then of the previous token's class."""
+    k = len(joint)
+    logs = logs_of(joint, lean)
+    gain = beside @ np.concatenate([logs.T, logs]) - beside[:, :k].sum(1, keepdims=True) * np.log(joint.sum(0) + 1)
+    gain[:, 0] = -np.inf  # the end's own
+    return gain.argmax(1)
+
+
+def neighbours(state: DataFrame, k: int, lut: np.ndarray, min_count: int, end: int) -> DataFrame:
+    """(chunk, pos, hash, beside) for each chunk and word clustered on its own: pairs of a slot (the
+    next token's class, or k and the previous one's) and its count in the chunk's training texts."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pandas().itertuples():
+                at = lut[r.cls][np.frombuffer(r.codes, np.uint32)]
+                own = np.flatnonzero((r.c2 >> 1 >= min_count) & (r.hashes != end))
+                rank = np.full(len(r.hashes), -1)
+                rank[own] = np.arange(len(own))
+                word = rank[np.frombuffer(r.codes, np.uint32)]
+                took = np.flatnonzero(np.repeat(~r.held, r.lengths) & (word >= 0))
+                # Neither end of a text is cut off: a word is followed by the end token at least.
+                key = np.concatenate([word[took] * 2 * k + at[np.minimum(took + 1, len(at) - 1)], word[took] * 2 * k + k + np.where(took, at[took - 1], 0)])
+                key, n = np.unique(key, return_counts=True)
+                pairs = np.stack([key % (2 * k), n], 1).astype(np.uint32)
+                first = np.concatenate([[0], np.cumsum(np.bincount(key // (2 * k), minlength=len(own)))])
+                for lo in range(0, len(own), 20_000):
+                    hi = min(len(own), lo + 20_000)
+                    data = pairs[first[lo] : first[hi]].tobytes()
+                    beside = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(((first[lo : hi + 1] - first[lo]) * 8).astype(np.int32).tobytes()), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, r.chunk)), pa.array(own[lo:hi].astype(np.int32)), pa.array(r.hashes[own[lo:hi]]), beside], ["chunk", "pos", "hash", "beside"])
+
+    return state.select("chunk", "hashes", "codes", "lengths", "held", "c2", "cls").mapInArrow(run, "chunk long, pos int, hash long, beside binary")
+
+
+def placed(rows: DataFrame, k: int, place) -> DataFrame:
+    """(chunk, at, to): each chunk's positions and what place() makes of the words there from their
+    neighbours in all chunks."""
+
+    def out(chunk, pos, to):
+        return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(pos), pa.array(to.astype(np.int32))], ["chunk", "pos", "to"])
+
+    def run(batches):
+        last = None  # the word that may go on in the next batch: hash, counts, chunks, positions
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            h = batch.column("hash").to_numpy() if batch is not None else None
+            if last and (batch is None or h[0] != last[0]):
+                to = place(last[1][None])
+                yield from (out(c, p, np.repeat(to, len(c))) for c, p in last[2])
+                last = None
+            if batch is None:
+                return
+            chunk, pos = batch.column("chunk").to_numpy(), batch.column("pos").to_numpy()
+            beside = [np.frombuffer(x, np.uint32) for x in batch.column("beside").to_pylist()]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            starts = np.append(np.flatnonzero(new), len(h))
+            for lo in range(0, len(starts) - 1, WORDS):
+                hi = min(len(starts) - 1, lo + WORDS)
+                a, b = starts[lo], starts[hi]
+                word = np.cumsum(new[a:b]) - 1
+                pairs = np.concatenate(beside[a:b]).reshape(-1, 2)
+                of = np.repeat(word, [len(x) // 2 for x in beside[a:b]])
+                counts = np.bincount(of * 2 * k + pairs[:, 0], pairs[:, 1], (hi - lo) * 2 * k).reshape(hi - lo, 2 * k)
+                before = []
+                if last:
+                    counts[0] += last[1]
+                    before, last = last[2], None
+                keep = b
+                if hi == len(starts) - 1:
+                    keep = starts[-2]
+                    rest = [(chunk[keep:b], pos[keep:b])]
+                    last = (h[keep], counts[-1].copy(), before + rest if hi - lo == 1 else rest)
+                    counts = counts[:-1]
+                if len(counts):
+                    to = place(counts)
+                    yield from (out(c, p, np.repeat(to[:1], len(c))) for c, p in before)
+                    yield out(chunk[a:keep], pos[a:keep], to[word[: keep - a]])
+
+    return (
+        rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "chunk long, pos int, to int")
+        .groupBy("chunk").agg(F.collect_list(F.struct("pos", "to")).alias("x")).select("chunk", F.col("x.pos").alias("at"), F.col("x.to").alias("to")))
+
+
+STATE = "chunk long, doc_ids array<long>, lengths array<int>, held array<boolean>, hashes array<long>, codes binary, c2 array<long>, cls array<int>"
+
+
+def reclassed(state: DataFrame, moves: DataFrame, lut: np.ndarray, shift: int, name: str) -> DataFrame:
+    """The state with each word's new class."""
+
+    def run(batches):
+        for pdf in batches:
+            new = []
+            for cls, at, to in zip(pdf["cls"], pdf["at"], pdf["to"]):
+                cls = lut[cls]
+                if at is not None:
+                    cls[at] = to + shift
+                new.append(cls.astype(np.int32))
+            yield pdf.assign(cls=new).drop(columns=["at", "to"])
+
+    return common.cut(state.join(moves, "chunk", "left").mapInPandas(run, STATE), name)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more, and let go of the shuffles behind them."""
+    for t in tables:
+        common.discard(t)
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def bigrams_of(state: DataFrame, k: int, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts of class after class, and the classes' distinct words."""
+
+    def run(batches):
+        for pdf in batches:
+            for codes, lengths, held, c2, cls in zip(pdf["codes"], pdf["lengths"], pdf["held"], pdf["c2"], pdf["cls"]):
+                cls = lut[cls]
+                at = cls[np.frombuffer(codes, np.uint32)]
+                pair = (np.concatenate([[0], at[:-1]]) * k + at)[np.repeat(~held, lengths)]
+                pair, n = np.unique(np.concatenate([pair, k * k + cls[(c2 & 1 == 1) & (c2 > 1)]]), return_counts=True)
+                yield pd.DataFrame({"pair": pair, "n": n})
+
+    got = state.select("codes", "lengths", "held", "c2", "cls").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    flat = np.zeros(k * k + k)
+    flat[got["pair"].to_numpy(np.int64)] = got["n"]
+    return flat[: k * k].reshape(k, k), flat[k * k :]
+
+
+def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_share: float = 5e-4, lean: float = 20.0, min_count: int = 5, moves: int = 1) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
+    classes: as class_count() says where it is None."""
     spark = docs.sparkSession
     common.small_batches(spark)
     parts = common.cut(chunks(docs), "lm-chunks")
@@ -196,10 +348,11 @@ def score(docs: DataFrame, classes: int = 48, rounds: int = 4, min_share: float
                 rest = own & (n > 0) & (n < least) & (h != end)
                 by = np.bincount(tail[rest], minlength=TAIL)
                 yield pd.DataFrame({"hash": h[alone], "element": -1, "words": 1})
+                yield pd.DataFrame({"hash": [0], "element": [-2], "words": [int((own & (n >= min_count) & (h != end)).sum())]})
                 yield pd.DataFrame({"hash": 0, "element": 1 + np.arange(TAIL), "words": by}).query("words > 0")
 
     stats = back.select("hash", "c2", "tail").mapInPandas(summed, "hash long, element int, words long").groupBy("hash", "element").agg(F.sum("words").alias("words")).toPandas()
-    alone = stats[stats["element"] < 0].sort_values("hash")
+    alone = stats[stats["element"] == -1].sort_values("hash")
     frequent = np.concatenate([alone["hash"].to_numpy(np.int64), [end]])
     numbers = np.concatenate([1 + TAIL + np.arange(len(alone)), [0]]).astype(np.int64)
     by_hash = np.argsort(frequent)
@@ -220,35 +373,71 @@ def score(docs: DataFrame, classes: int = 48, rounds: int = 4, min_share: float
     bigrams = np.zeros(n_elements * n_elements)
     bigrams[counted["pair"].to_numpy(np.int64)] = counted["n"]
     bigrams = bigrams.reshape(n_elements, n_elements)
-    of = exchange(bigrams, classes, rounds)
-    hot = np.eye(classes)[of]
+    k = classes or class_count(int(stats.loc[stats["element"] == -2, "words"].sum()))
+    core = min(CORE, k)
+    of = exchange(bigrams, core, rounds)
+    hot = np.eye(core)[of]
     joint = hot.T @ bigrams @ hot
-    class_tokens = joint.sum(0)
-    words = np.zeros(n_elements)
-    words[0] = 1 if n_tokens else 0
-    words[1 + TAIL :] = 1
-    tails = stats[stats["element"] > 0]
-    words[tails["element"].to_numpy(np.int64)] = tails["words"]
-    share = (class_tokens + 1) / (class_tokens + 1).sum()
-    transition = np.log10((joint + lean * share) / (joint.sum(1, keepdims=True) + lean))
-    model = Model(frequent, numbers, of, transition, class_tokens, hot.T @ words, n_tokens, int(words.sum()))
 
-    def scored(batches):
+    def begun(batches):
         for pdf in batches:
+            c2, cls = [], []
             for r in pdf.itertuples():
                 order = np.argsort(r.hash)
-                count = (r.c2 >> 1)[order][np.searchsorted(r.hash[order], r.hashes)]
-                cls = model.of[model.element(r.hashes, r.packed & (TAIL - 1))]
-                emit = np.log10((count + 1) / (model.class_tokens + model.class_words + 1)[cls])
-                base = np.log10((count + 1) / (model.n_tokens + model.n_words + 1))
+                c2.append(r.c2[order][np.searchsorted(r.hash[order], r.hashes)])
+                cls.append(of[elements_of(r.hashes, r.packed & (TAIL - 1), frequent, numbers)].astype(np.int32))
+            yield pdf.drop(columns=["packed", "hash", "c2"]).assign(c2=c2, cls=cls)
+
+    state = common.cut(parts.drop("train_tokens").join(back.drop("tail"), "chunk").mapInPandas(begun, STATE), "lm-core")
+    dropped(parts, back)
+
+    # Groups of words by their core class and their commonest neighbours' ones, the heaviest first.
+    def grouped(beside):
+        return (best_class(beside, joint, lean) * core + beside[:, :core].argmax(1)) * core + beside[:, core:].argmax(1)
+
+    same = np.arange(core)
+    first = state
+    state = reclassed(first, placed(neighbours(first, core, same, min_count, end), core, grouped), same, core, "lm-groups")
+    dropped(first)
+
+    def weighed(batches):
+        for pdf in batches:
+            for codes, lengths, held, cls in zip(pdf["codes"], pdf["lengths"], pdf["held"], pdf["cls"]):
+                group, n = np.unique(cls[np.frombuffer(codes, np.uint32)[np.repeat(~held, lengths)]], return_counts=True)
+                yield pd.DataFrame({"group": group, "n": n})
+
+    weights = state.select("codes", "lengths", "held", "cls").mapInPandas(weighed, "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).toPandas()
+    weights = weights[weights["group"] >= core].sort_values(["n", "group"], ascending=[False, True])["group"].to_numpy(np.int64)[: k - core]
+    lut = np.concatenate([same, np.arange(core**3) // core**2])
+    lut[weights] = core + np.arange(len(weights))
+    k = core + len(weights)
+    joint, class_words = bigrams_of(state, k, lut)
+    for step in range(moves):
+        was = joint
+        after = reclassed(state, placed(neighbours(state, k, lut, min_count, end), k, lambda beside: best_class(beside, was, lean)), lut, 0, f"lm-moved-{step}")  # noqa: B023
+        found = bigrams_of(after, k, np.arange(k))
+        if likelihood(found[0]) <= likelihood(joint):
+            dropped(after)
+            break
+        dropped(state)
+        state, lut, (joint, class_words) = after, np.arange(k), found
+    class_tokens, n_words = joint.sum(0), int(class_words.sum())
+    transition = logs_of(joint, lean) / np.log(10)
+
+    def scored(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                count, cls = r.c2 >> 1, lut[r.cls]
+                emit = np.log10((count + 1) / (class_tokens + class_words + 1)[cls])
+                base = np.log10((count + 1) / (n_tokens + n_words + 1))
                 codes = np.frombuffer(r.codes, np.uint32)
                 at = cls[codes]
-                each = emit[codes] + model.transition[np.concatenate([[0], at[:-1]]), at]
+                each = emit[codes] + transition[np.concatenate([[0], at[:-1]]), at]
                 first = np.cumsum(r.lengths) - r.lengths
                 yield pd.DataFrame({
                     "doc_id": pd.array(r.doc_ids, dtype="Int64"), "held_out": r.held, "n_tokens": r.lengths.astype(np.int64),
-                    "n_known": np.add.reduceat((count > 0)[codes].astype(np.int64), first), "train_tokens": model.n_tokens,
+                    "n_known": np.add.reduceat((count > 0)[codes].astype(np.int64), first), "train_tokens": n_tokens,
                     "base_score": np.add.reduceat(base[codes], first), "score": np.add.reduceat(each, first)})
 
-    return parts.drop("train_tokens").join(back.drop("tail"), "chunk").mapInPandas(
+    return state.drop("hashes").mapInPandas(
         scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

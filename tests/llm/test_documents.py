@@ -215,6 +215,16 @@ def test_language_model(table, documents):
     assert brown_lm.score(documents(EDGES).limit(0)).count() == 0
 
 
+def test_language_model_grows(documents):
+    # Two kinds of words that no frequent word is among and whose last bytes are the same.
+    r = random.Random(3)
+    pairs = [(f"w{i}xx", f"w{3000 + j}xx") for _ in range(10) for i, j in zip(range(3000), r.sample(range(3000), 3000))]
+    rows = [(i, " ".join(f"the {a} of {b}" for a, b in pairs[i * 100 : i * 100 + 100])) for i in range(300)]
+    got = brown_lm.score(documents(rows)).collect()
+    assert sum(r.score for r in got) / sum(r.n_tokens for r in got) > -1.85  # -2.04 where they share a class
+    assert [brown_lm.class_count(n) for n in (0, 10**6, 10**9, 10**12)] == [brown_lm.CORE + n for n in (0, 200, 2000, 20000)]
+
+
 def test_exchange_raises_the_likelihood():
     # Three kinds of elements that follow each other in turn.
     r = np.random.default_rng(0)
