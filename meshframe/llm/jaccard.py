@@ -391,11 +391,13 @@ def join(docs: DataFrame) -> DataFrame:
     # as they can link, bound what must be shared and where it must stand.
     overlap = lambda y: f"(3 * (n + {y}) + 6) div 7"
     ahead = lambda y: f"({overlap(y)} + 1 - (3 * greatest(n, {y}) + 3) div 4)"
+    # It rises up to y = n and falls beyond, there with steps back of one: a size between may need one fewer.
+    least = f"(least({ahead('lo')}, {ahead('hi')}) - if(hi > greatest(lo, n), 1, 0))"
     wanted = (
         mixed.join(groups, "token").where("label <> other AND (m < m_y OR m = m_y AND label < other)")
         .withColumn("lo", F.expr("greatest(lo, (3 * n + 3) div 4)")).withColumn("hi", F.expr("least(hi, 4 * n div 3)"))
-        .where(f"lo <= hi AND least(s, s_y) >= least({ahead('lo')}, {ahead('hi')}) AND pos <= n - {overlap('lo')} AND pos_y <= hi - {overlap('hi')}")
-        .select("key", "other", "m_y", F.expr(f"least({ahead('lo')}, {ahead('hi')})").alias("ahead"))
+        .where(f"lo <= hi AND least(s, s_y) >= {least} AND pos <= n - {overlap('lo')} AND pos_y <= hi - {overlap('hi')}")
+        .select("key", "other", "m_y", F.expr(least).alias("ahead"))
         .groupBy("key", "other", "m_y").agg(F.min("ahead").alias("ahead"))
     )
     wanted = common.cut(wanted, "jj-wanted")

@@ -68,6 +68,16 @@ def test_jaccard_join(documents, monkeypatch):
         assert got == components_by_force(rows)
 
 
+def test_jaccard_links_sizes_between_the_ends(documents):
+    # x links y alone, whose component has sizes 10 to 12; 11 demands fewer common shingles than both.
+    rows = []
+    for k in range(0, 400, 4):
+        w = [f"w{k}x{i}" for i in range(1, 14)]
+        rows += [(k + i, " ".join(t)) for i, t in enumerate((w + ["a"], w + ["b", "c"], w + ["b", "c", "d"], w[1:] + ["b", "c"]))]
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(documents(rows)).collect()), key=str)
+    assert got == components_by_force(rows)
+
+
 def test_jaccard_on_table_and_odd_rows(table, documents):
     rows = texts_of(table("documents"))
     got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(table("documents")).collect()), key=str)
