@@ -232,12 +232,12 @@ def radix_sort(spark, d):
 
 @query(SQL["radix_sort"])
 def radix_sort_rounds(spark, d):
-    return redistribute.radix_rounds(_events(spark, d).select("i", "v"), "v", "i", bits=8, rounds=2)
+    return redistribute.radix_rounds(_events(spark, d).select("i", "v"), "v", "i", bits=8, rounds=4)
 
 
 @query(f"WITH {EV} SELECT i, v, row_number() OVER (ORDER BY v >> 12, i) - 1 AS pos FROM ev")
 def msd_round(spark, d):
-    return redistribute.msd_round(_events(spark, d).select("i", "v"), "v", "i", width=16)
+    return redistribute.msd_round(_events(spark, d).select("i", "v"), "v", "i", bits=20)
 
 
 @query(f"WITH {EV} SELECT i, v, CAST(sum(v) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS scan FROM ev")

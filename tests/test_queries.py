@@ -39,6 +39,17 @@ def test_query(spark, sql, name):
     assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.parametrize("name", ["radix_sort_rounds", "msd_round"])
+def test_sorts_of_all_32_bits(spark, tmp_path, name):
+    r = spark.read.parquet(f"{SMALL}/events.parquet")
+    r.withColumn("value", r["value"] * 50_000).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got, want = queries.QUERIES[name](spark, str(tmp_path)), c.sql(queries.SQL[name])
+    assert c.sql("SELECT max(value) FROM events").fetchall()[0][0] * 100 > 1 << 24
+    assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_query_without_sql(spark, name):
     assert queries.QUERIES[name](spark, SMALL).count() > 0
