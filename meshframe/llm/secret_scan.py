@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over every other long token.
 
-A candidate is a run of at least MIN_RUN letters, digits and +/_=- that no pattern covers. Its
-encoding is inferred from the characters it holds. Three tests ask whether it could be uniform
+A candidate is a run of at least MIN_RUN letters, digits and +/_=- that no pattern covers, cut at
+patterns inside it, at = but for padding, and, as no encoding has both +/ and -_, at whichever of
+these leaves the less natural pieces. Its encoding is inferred from the characters it holds. Three tests ask whether it could be uniform
 over that encoding's alphabet: chi-squared on the symbol counts, Wald-Wolfowitz runs about the
 alphabet's middle, and lag-one serial correlation; Fisher's method joins their p-values, and a
 candidate that fails them is ordinary text. The likelihood ratio of the uniform alphabet against
@@ -33,6 +34,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+\Z)?")
+SIDES = tuple(re.compile(rf"[A-Za-z0-9{x}]{{20,}}(?:=+\Z)?") for x in ("+/", "_-"))
 
 #: Encodings from the narrowest on; the first whose alphabet holds a candidate is taken for it.
 ENCODINGS = (
@@ -147,6 +150,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def candidates(run: str, inner: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges of a run that are tested, where inner are those of the patterns in it."""
+    out, at = [], 0
+    for a, b in [*sorted(inner), (len(run), len(run))]:
+        for m in PIECE.finditer(run[at:a]) if a - at >= MIN_RUN else ():
+            first, piece = at + m.start(), m[0]
+            found = [(0, len(piece))]
+            if re.search("[+/]", piece) and re.search("[_-]", piece):
+                found = min(([x.span() for x in side.finditer(piece)] for side in SIDES), key=lambda c: min((examine(piece[x:y]) for x, y in c), default=1.0))
+            out += [(first + x, first + y) for x, y in found]
+        at = max(at, b)
+    return out
+
+
 def spans(text: str | None) -> tuple[list, list]:
     """(kind, start, end) of the patterns' spans and of all spans, in order; code points, end
     exclusive."""
@@ -157,8 +174,7 @@ def spans(text: str | None) -> tuple[list, list]:
         inner = [("access", at + x.start(), at + x.end()) for x in ACCESS.finditer(run)]
         inner += [("hex", at + x.start(), at + x.end()) for x in HEX.finditer(run)]
         base += inner
-        if not inner:
-            runs.append((at, m.end(), run))
+        runs += [(at + a, at + b, run[a:b]) for a, b in candidates(run, [(a - at, b - at) for _, a, b in inner])]
     order = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base.sort(key=order)
     held = [x for x in base if x[0] == "assign"]

@@ -191,6 +191,18 @@ def test_base_matches_plain_regex(table):
         assert set(base) <= set(every)
 
 
+def test_secrets_inside_runs():
+    # After a name and =, joined to a name by what its encoding lacks, and beside a pattern's span.
+    r = random.Random(8)
+    s = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    b64, url = s[:20] + "+" + s[20:30] + "/" + s[30:], s[:20] + "_" + s[20:30] + "-" + s[30:]
+    for before, secret, after in (("aws_credential=", s, ""), ("AUTH=", s, "=="), ("my_key-", b64, ""), ("my_key_", b64, "="), ("path/", url, ""), ("AKIA" + "A" * 16 + "-", s, ""), ("0" * 24 + "/", s, "")):
+        every = secret_scan.spans(f"see {before}{secret}{after} end")[1]
+        found = [(a, b) for k, a, b in every if k == "random"]
+        assert len(found) == 1 and found[0][1] == 4 + len(before + secret + after) and abs(found[0][0] - 4 - len(before)) <= 1, (before, every)
+    assert not any(k == "random" for k, _, _ in secret_scan.spans("see some/path_to/a-long/file_name=with/another-long/file_name end")[1])
+
+
 def test_battery_tells_random_from_words():
     r = random.Random(5)
     random_strings = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(100)]
