@@ -51,6 +51,9 @@ from . import common
 
 TAIL = 512
 TAIL_BITS = 9
+#: Neighbours as one number for each time, up to so many times; 2 * class_count() of all words that
+#: there could be fits this type.
+FEW, SLOT = 3, np.dtype("<u2")
 #: Classes of the core, and words that one matrix product places.
 CORE, WORDS = 48, 2000
 FOLDS, HELD_OUT = 7, 2
@@ -72,6 +75,15 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+def pack(codes: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, the lowest first, which a table's compression makes little of."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """One row for each Arrow batch of documents: their ids, lengths, the distinct words' hashes
     with training counts and tail elements, and the texts as numbers of distinct words."""
@@ -92,7 +104,11 @@ def chunks(docs: DataFrame) -> DataFrame:
             flat = np.array(flat, dtype=object)
             codes, distinct = pd.factorize(flat)
             del flat
-            codes = codes.astype(np.uint32)
+            # The commonest words get the least numbers.
+            rank = np.argsort(-np.bincount(codes), kind="stable")
+            distinct, number = distinct[rank], np.empty(len(rank), np.uint32)
+            number[rank] = np.arange(len(rank), dtype=np.uint32)
+            codes = number[codes]
             train = codes[np.repeat(~held, lengths)]
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], np.uint64)
             tails = np.array([tail_element(w) for w in distinct], np.int64)
@@ -100,7 +116,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             del distinct
             yield pd.DataFrame({
                 "chunk": [part << 32 | k], "doc_ids": [ids], "lengths": [np.array(lengths, np.int32)], "held": [held],
-                "hashes": [hashes.view(np.int64)], "packed": [packed], "codes": [codes.tobytes()], "train_tokens": [len(train)]})
+                "hashes": [hashes.view(np.int64)], "packed": [packed], "codes": [pack(codes)], "train_tokens": [len(train)]})
             k += 1
 
     return common.id_text(docs, "doc_id", "text").mapInPandas(
@@ -158,7 +174,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int) -> np.ndarray:
 
 def elements_of(hashes, tails, frequent, numbers) -> np.ndarray:
     """Elements of words: 0 the end, 1 to TAIL the tails, then frequent words (sorted hashes)."""
-    out = tails + 1
+    out = tails.astype(np.int64) + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
         hit = frequent[at] == hashes
@@ -192,31 +208,51 @@ def best_class(beside: np.ndarray, joint: np.ndarray, lean: float) -> np.ndarray
     return gain.argmax(1)
 
 
-def neighbours(state: DataFrame, k: int, lut: np.ndarray, min_count: int, end: int) -> DataFrame:
-    """(chunk, pos, hash, beside) for each chunk and word clustered on its own: pairs of a slot (the
-    next token's class, or k and the previous one's) and its count in the chunk's training texts."""
+def neighbours(state: DataFrame, k: int, classed, min_count: int, end: int) -> DataFrame:
+    """(chunk, pos, hash, beside, often) for each chunk and word clustered on its own: slots (the
+    next token's class, or k and the previous one's) in the chunk's training texts, one for each
+    time in beside, and as pairs of slot and count in often where there are over FEW."""
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pandas().itertuples():
-                at = lut[r.cls][np.frombuffer(r.codes, np.uint32)]
+                at, codes = classed(r.hashes, r.cls), unpack(r.codes)
+                at = at[codes]
                 own = np.flatnonzero((r.c2 >> 1 >= min_count) & (r.hashes != end))
                 rank = np.full(len(r.hashes), -1)
                 rank[own] = np.arange(len(own))
-                word = rank[np.frombuffer(r.codes, np.uint32)]
+                word = rank[codes]
                 took = np.flatnonzero(np.repeat(~r.held, r.lengths) & (word >= 0))
                 # Neither end of a text is cut off: a word is followed by the end token at least.
                 key = np.concatenate([word[took] * 2 * k + at[np.minimum(took + 1, len(at) - 1)], word[took] * 2 * k + k + np.where(took, at[took - 1], 0)])
                 key, n = np.unique(key, return_counts=True)
-                pairs = np.stack([key % (2 * k), n], 1).astype(np.uint32)
-                first = np.concatenate([[0], np.cumsum(np.bincount(key // (2 * k), minlength=len(own)))])
+                few = n <= FEW
+                one, both = np.repeat(key[few], n[few]), key[~few]
+                kinds = (
+                    (one // (2 * k), (one % (2 * k)).astype(SLOT)),
+                    (both // (2 * k), np.stack([both % (2 * k), n[~few]], 1).astype(np.uint32)))
                 for lo in range(0, len(own), 20_000):
                     hi = min(len(own), lo + 20_000)
-                    data = pairs[first[lo] : first[hi]].tobytes()
-                    beside = pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(((first[lo : hi + 1] - first[lo]) * 8).astype(np.int32).tobytes()), pa.py_buffer(data)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, r.chunk)), pa.array(own[lo:hi].astype(np.int32)), pa.array(r.hashes[own[lo:hi]]), beside], ["chunk", "pos", "hash", "beside"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(hi - lo, r.chunk)), pa.array(own[lo:hi].astype(np.int32)), pa.array(r.hashes[own[lo:hi]]), *(split_bytes(w, x, lo, hi) for w, x in kinds)],
+                        ["chunk", "pos", "hash", "beside", "often"])
+
+    return state.select("chunk", "hashes", "codes", "lengths", "held", "c2", "cls").mapInArrow(run, "chunk long, pos int, hash long, beside binary, often binary")
 
-    return state.select("chunk", "hashes", "codes", "lengths", "held", "c2", "cls").mapInArrow(run, "chunk long, pos int, hash long, beside binary")
+
+def split_bytes(word: np.ndarray, rows: np.ndarray, lo: int, hi: int) -> pa.Array:
+    """The bytes of the rows of each word from lo to hi; words ascend."""
+    at = np.searchsorted(word, np.arange(lo, hi + 1))
+    size = rows.itemsize * (rows.shape[1] if rows.ndim == 2 else 1)
+    return pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(((at - at[0]) * size).astype(np.int32).tobytes()), pa.py_buffer(rows[at[0] : at[-1]].tobytes())])
+
+
+def bytes_of(column: pa.Array, a: int, b: int, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in rows a to b of a binary column, and how many each row has."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset + a : column.offset + b + 1]
+    raw = column.buffers()[2]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, kind, (at[-1] - at[0]) // size, at[0]) if at[-1] > at[0] else np.empty(0, kind), np.diff(at) // size
 
 
 def placed(rows: DataFrame, k: int, place) -> DataFrame:
@@ -239,16 +275,17 @@ def placed(rows: DataFrame, k: int, place) -> DataFrame:
             if batch is None:
                 return
             chunk, pos = batch.column("chunk").to_numpy(), batch.column("pos").to_numpy()
-            beside = [np.frombuffer(x, np.uint32) for x in batch.column("beside").to_pylist()]
+            beside, often = (batch.column(c).combine_chunks() if isinstance(batch.column(c), pa.ChunkedArray) else batch.column(c) for c in ("beside", "often"))
             new = np.concatenate([[True], h[1:] != h[:-1]])
             starts = np.append(np.flatnonzero(new), len(h))
             for lo in range(0, len(starts) - 1, WORDS):
                 hi = min(len(starts) - 1, lo + WORDS)
                 a, b = starts[lo], starts[hi]
                 word = np.cumsum(new[a:b]) - 1
-                pairs = np.concatenate(beside[a:b]).reshape(-1, 2)
-                of = np.repeat(word, [len(x) // 2 for x in beside[a:b]])
-                counts = np.bincount(of * 2 * k + pairs[:, 0], pairs[:, 1], (hi - lo) * 2 * k).reshape(hi - lo, 2 * k)
+                (one, n_one), (both, n_both) = bytes_of(beside, a, b, SLOT), bytes_of(often, a, b, np.uint32)
+                counts = np.bincount(np.repeat(word, n_one) * 2 * k + one, minlength=(hi - lo) * 2 * k).astype(float)
+                counts += np.bincount(np.repeat(word, n_both // 2) * 2 * k + both[::2], both[1::2], (hi - lo) * 2 * k)
+                counts = counts.reshape(hi - lo, 2 * k)
                 before = []
                 if last:
                     counts[0] += last[1]
@@ -266,23 +303,23 @@ def placed(rows: DataFrame, k: int, place) -> DataFrame:
 
     return (
         rows.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, "chunk long, pos int, to int")
-        .groupBy("chunk").agg(F.collect_list(F.struct("pos", "to")).alias("x")).select("chunk", F.col("x.pos").alias("at"), F.col("x.to").alias("to")))
+        .groupBy("chunk").agg(F.collect_list("pos").alias("at"), F.collect_list("to").alias("to")))  # neither has nulls: both in one order
 
 
 STATE = "chunk long, doc_ids array<long>, lengths array<int>, held array<boolean>, hashes array<long>, codes binary, c2 array<long>, cls array<int>"
 
 
-def reclassed(state: DataFrame, moves: DataFrame, lut: np.ndarray, shift: int, name: str) -> DataFrame:
-    """The state with each word's new class."""
+def reclassed(state: DataFrame, moves: DataFrame, classed, shift: int, name: str) -> DataFrame:
+    """The state with each word's new class; classed(hashes, cls) is what it was."""
 
     def run(batches):
         for pdf in batches:
             new = []
-            for cls, at, to in zip(pdf["cls"], pdf["at"], pdf["to"]):
-                cls = lut[cls]
+            for hashes, cls, at, to in zip(pdf["hashes"], pdf["cls"], pdf["at"], pdf["to"]):
+                cls = classed(hashes, cls).astype(np.int32)
                 if at is not None:
                     cls[at] = to + shift
-                new.append(cls.astype(np.int32))
+                new.append(cls)
             yield pdf.assign(cls=new).drop(columns=["at", "to"])
 
     return common.cut(state.join(moves, "chunk", "left").mapInPandas(run, STATE), name)
@@ -295,19 +332,19 @@ def dropped(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
-def bigrams_of(state: DataFrame, k: int, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bigrams_of(state: DataFrame, k: int, classed) -> tuple[np.ndarray, np.ndarray]:
     """Training counts of class after class, and the classes' distinct words."""
 
     def run(batches):
         for pdf in batches:
-            for codes, lengths, held, c2, cls in zip(pdf["codes"], pdf["lengths"], pdf["held"], pdf["c2"], pdf["cls"]):
-                cls = lut[cls]
-                at = cls[np.frombuffer(codes, np.uint32)]
+            for hashes, codes, lengths, held, c2, cls in zip(pdf["hashes"], pdf["codes"], pdf["lengths"], pdf["held"], pdf["c2"], pdf["cls"]):
+                cls = classed(hashes, cls)
+                at = cls[unpack(codes)]
                 pair = (np.concatenate([[0], at[:-1]]) * k + at)[np.repeat(~held, lengths)]
                 pair, n = np.unique(np.concatenate([pair, k * k + cls[(c2 & 1 == 1) & (c2 > 1)]]), return_counts=True)
                 yield pd.DataFrame({"pair": pair, "n": n})
 
-    got = state.select("codes", "lengths", "held", "c2", "cls").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    got = state.select("hashes", "codes", "lengths", "held", "c2", "cls").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     flat = np.zeros(k * k + k)
     flat[got["pair"].to_numpy(np.int64)] = got["n"]
     return flat[: k * k].reshape(k, k), flat[k * k :]
@@ -324,26 +361,36 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
     def entries(batches):
         for pdf in batches:
             for c, h, p in zip(pdf["chunk"], pdf["hashes"], pdf["packed"]):
+                pos = np.arange(len(h), dtype=np.int32)
                 for at in range(0, len(h), 50_000):
-                    yield pd.DataFrame({"chunk": c, "hash": h[at : at + 50_000], "packed": p[at : at + 50_000]})
+                    yield pd.DataFrame({"chunk": c, "pos": pos[at : at + 50_000], "hash": h[at : at + 50_000], "n": p[at : at + 50_000] >> TAIL_BITS})
 
-    # The count of a word over all chunks, and whether this chunk is the one that speaks for it.
+    # The count of a word over all chunks, and whether this chunk is the one that speaks for it. A
+    # word has one row a chunk: the commonest has one in as many rows as a chunk has words.
     w = Window.partitionBy("hash")
     back = common.cut(
-        parts.select("chunk", "hashes", "packed").mapInPandas(entries, "chunk long, hash long, packed long")
-        .select(
-            "chunk", "hash",
-            (F.sum(F.shiftright("packed", TAIL_BITS)).over(w) * 2 + (F.col("chunk") == F.min("chunk").over(w)).cast("long")).alias("c2"),
-            F.col("packed").bitwiseAND(TAIL - 1).alias("tail"))
-        .groupBy("chunk").agg(F.collect_list(F.struct("hash", "c2", "tail")).alias("x"))
-        .select("chunk", F.col("x.hash").alias("hash"), F.col("x.c2").alias("c2"), F.col("x.tail").cast("array<short>").alias("tail")), "lm-counts")
+        parts.select("chunk", "hashes", "packed").mapInPandas(entries, "chunk long, pos int, hash long, n long")
+        .select("chunk", "pos", (F.sum("n").over(w) * 2 + (F.col("chunk") == F.min("chunk").over(w)).cast("long")).alias("c2"))
+        .groupBy("chunk").agg(F.collect_list("pos").alias("at"), F.collect_list("c2").alias("c2")), "lm-counts")
     end = np.uint64(xxhash.xxh3_64_intdigest(END)).astype(np.int64)
     least = max(1.0, min_share * n_tokens)
 
+    def begun(batches):
+        for pdf in batches:
+            c2 = []
+            for at, found in zip(pdf["at"], pdf["c2"]):
+                c2.append(np.empty(len(at), np.int64))
+                c2[-1][at] = found
+            yield pdf.drop(columns=["packed", "at"]).assign(c2=c2, cls=[(p & (TAIL - 1)).astype(np.int32) for p in pdf["packed"]])
+
+    # A word's class is its tail at first.
+    state = common.cut(parts.drop("train_tokens").join(back, "chunk").mapInPandas(begun, STATE), "lm-words")
+    dropped(parts, back)
+
     def summed(batches):
         for pdf in batches:
-            for h, c2, tail in zip(pdf["hash"], pdf["c2"], pdf["tail"]):
-                own, n, tail = (c2 & 1) == 1, c2 >> 1, tail.astype(np.int64)
+            for h, c2, tail in zip(pdf["hashes"], pdf["c2"], pdf["cls"]):
+                own, n = (c2 & 1) == 1, c2 >> 1
                 alone = own & (n >= least) & (h != end)
                 rest = own & (n > 0) & (n < least) & (h != end)
                 by = np.bincount(tail[rest], minlength=TAIL)
@@ -351,7 +398,7 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
                 yield pd.DataFrame({"hash": [0], "element": [-2], "words": [int((own & (n >= min_count) & (h != end)).sum())]})
                 yield pd.DataFrame({"hash": 0, "element": 1 + np.arange(TAIL), "words": by}).query("words > 0")
 
-    stats = back.select("hash", "c2", "tail").mapInPandas(summed, "hash long, element int, words long").groupBy("hash", "element").agg(F.sum("words").alias("words")).toPandas()
+    stats = state.select("hashes", "c2", "cls").mapInPandas(summed, "hash long, element int, words long").groupBy("hash", "element").agg(F.sum("words").alias("words")).toPandas()
     alone = stats[stats["element"] == -1].sort_values("hash")
     frequent = np.concatenate([alone["hash"].to_numpy(np.int64), [end]])
     numbers = np.concatenate([1 + TAIL + np.arange(len(alone)), [0]]).astype(np.int64)
@@ -361,15 +408,14 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
 
     def pairs(batches):
         for pdf in batches:
-            for h, p, codes, lengths, held in zip(pdf["hashes"], pdf["packed"], pdf["codes"], pdf["lengths"], pdf["held"]):
-                element = elements_of(h, p & (TAIL - 1), frequent, numbers)
-                at = element[np.frombuffer(codes, np.uint32)]
+            for h, tail, codes, lengths, held in zip(pdf["hashes"], pdf["cls"], pdf["codes"], pdf["lengths"], pdf["held"]):
+                at = elements_of(h, tail, frequent, numbers)[unpack(codes)]
                 key = (np.concatenate([[0], at[:-1]]) * n_elements + at)[np.repeat(~held, lengths)]
                 key, n = np.unique(key, return_counts=True)
                 yield pd.DataFrame({"pair": key, "n": n})
 
     # A document's first token follows the end token, as the token before it in the chunk is one.
-    counted = parts.select("hashes", "packed", "codes", "lengths", "held").mapInPandas(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    counted = state.select("hashes", "cls", "codes", "lengths", "held").mapInPandas(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     bigrams = np.zeros(n_elements * n_elements)
     bigrams[counted["pair"].to_numpy(np.int64)] = counted["n"]
     bigrams = bigrams.reshape(n_elements, n_elements)
@@ -379,58 +425,49 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
     hot = np.eye(core)[of]
     joint = hot.T @ bigrams @ hot
 
-    def begun(batches):
-        for pdf in batches:
-            c2, cls = [], []
-            for r in pdf.itertuples():
-                order = np.argsort(r.hash)
-                c2.append(r.c2[order][np.searchsorted(r.hash[order], r.hashes)])
-                cls.append(of[elements_of(r.hashes, r.packed & (TAIL - 1), frequent, numbers)].astype(np.int32))
-            yield pdf.drop(columns=["packed", "hash", "c2"]).assign(c2=c2, cls=cls)
-
-    state = common.cut(parts.drop("train_tokens").join(back.drop("tail"), "chunk").mapInPandas(begun, STATE), "lm-core")
-    dropped(parts, back)
+    def in_core(hashes, tail):
+        return of[elements_of(hashes, tail, frequent, numbers)]
 
     # Groups of words by their core class and their commonest neighbours' ones, the heaviest first.
     def grouped(beside):
         return (best_class(beside, joint, lean) * core + beside[:, :core].argmax(1)) * core + beside[:, core:].argmax(1)
 
-    same = np.arange(core)
     first = state
-    state = reclassed(first, placed(neighbours(first, core, same, min_count, end), core, grouped), same, core, "lm-groups")
+    state = reclassed(first, placed(neighbours(first, core, in_core, min_count, end), core, grouped), in_core, core, "lm-groups")
     dropped(first)
 
     def weighed(batches):
         for pdf in batches:
             for codes, lengths, held, cls in zip(pdf["codes"], pdf["lengths"], pdf["held"], pdf["cls"]):
-                group, n = np.unique(cls[np.frombuffer(codes, np.uint32)[np.repeat(~held, lengths)]], return_counts=True)
+                group, n = np.unique(cls[unpack(codes)[np.repeat(~held, lengths)]], return_counts=True)
                 yield pd.DataFrame({"group": group, "n": n})
 
     weights = state.select("codes", "lengths", "held", "cls").mapInPandas(weighed, "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).toPandas()
     weights = weights[weights["group"] >= core].sort_values(["n", "group"], ascending=[False, True])["group"].to_numpy(np.int64)[: k - core]
-    lut = np.concatenate([same, np.arange(core**3) // core**2])
+    lut = np.concatenate([np.arange(core), np.arange(core**3) // core**2])
     lut[weights] = core + np.arange(len(weights))
+    classed = lambda _, cls: lut[cls]
     k = core + len(weights)
-    joint, class_words = bigrams_of(state, k, lut)
+    joint, class_words = bigrams_of(state, k, classed)
     for step in range(moves):
         was = joint
-        after = reclassed(state, placed(neighbours(state, k, lut, min_count, end), k, lambda beside: best_class(beside, was, lean)), lut, 0, f"lm-moved-{step}")  # noqa: B023
-        found = bigrams_of(after, k, np.arange(k))
+        after = reclassed(state, placed(neighbours(state, k, classed, min_count, end), k, lambda beside: best_class(beside, was, lean)), classed, 0, f"lm-moved-{step}")  # noqa: B023
+        found = bigrams_of(after, k, lambda _, cls: cls)
         if likelihood(found[0]) <= likelihood(joint):
             dropped(after)
             break
         dropped(state)
-        state, lut, (joint, class_words) = after, np.arange(k), found
+        state, classed, (joint, class_words) = after, lambda _, cls: cls, found
     class_tokens, n_words = joint.sum(0), int(class_words.sum())
     transition = logs_of(joint, lean) / np.log(10)
 
     def scored(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                count, cls = r.c2 >> 1, lut[r.cls]
+                count, cls = r.c2 >> 1, classed(r.hashes, r.cls)
                 emit = np.log10((count + 1) / (class_tokens + class_words + 1)[cls])
                 base = np.log10((count + 1) / (n_tokens + n_words + 1))
-                codes = np.frombuffer(r.codes, np.uint32)
+                codes = unpack(r.codes)
                 at = cls[codes]
                 each = emit[codes] + transition[np.concatenate([[0], at[:-1]]), at]
                 first = np.cumsum(r.lengths) - r.lengths
@@ -439,5 +476,5 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
                     "n_known": np.add.reduceat((count > 0)[codes].astype(np.int64), first), "train_tokens": n_tokens,
                     "base_score": np.add.reduceat(base[codes], first), "score": np.add.reduceat(each, first)})
 
-    return state.drop("hashes").mapInPandas(
+    return state.mapInPandas(
         scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

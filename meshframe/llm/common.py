@@ -60,7 +60,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write the rows as a table in the shared folder and read them back, which ends the lineage:
     a lost executor costs no recomputation of what stands above."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
