@@ -43,7 +43,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,9 +51,8 @@ from . import common
 
 TAIL = 512
 TAIL_BITS = 9
-#: Neighbours as one number for each time, up to so many times; 2 * class_count() of all words that
-#: there could be fits this type.
-FEW, SLOT = 3, np.dtype("<u2")
+#: A neighbour's slot is sent once for each time, up to so many times.
+FEW = 3
 #: Classes of the core, and words that one matrix product places.
 CORE, WORDS = 48, 2000
 FOLDS, HELD_OUT = 7, 2
@@ -75,13 +74,16 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def pack(codes: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, the lowest first, which a table's compression makes little of."""
-    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers from zero on, compressed as planes of bytes, the lowest first."""
+    planes = np.asarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").ravel()
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -116,11 +118,11 @@ def chunks(docs: DataFrame) -> DataFrame:
             del distinct
             yield pd.DataFrame({
                 "chunk": [part << 32 | k], "doc_ids": [ids], "lengths": [np.array(lengths, np.int32)], "held": [held],
-                "hashes": [hashes.view(np.int64)], "packed": [packed], "codes": [pack(codes)], "train_tokens": [len(train)]})
+                "hashes": [hashes.tobytes()], "packed": [pack(packed)], "codes": [pack(codes)], "train_tokens": [len(train)]})
             k += 1
 
     return common.id_text(docs, "doc_id", "text").mapInPandas(
-        run, "chunk long, doc_ids array<long>, lengths array<int>, held array<boolean>, hashes array<long>, packed array<long>, codes binary, train_tokens long")
+        run, "chunk long, doc_ids array<long>, lengths array<int>, held array<boolean>, hashes binary, packed binary, codes binary, train_tokens long")
 
 
 def exchange(bigrams: np.ndarray, classes: int, rounds: int) -> np.ndarray:
@@ -174,7 +176,7 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int) -> np.ndarray:
 
 def elements_of(hashes, tails, frequent, numbers) -> np.ndarray:
     """Elements of words: 0 the end, 1 to TAIL the tails, then frequent words (sorted hashes)."""
-    out = tails.astype(np.int64) + 1
+    out = tails + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
         hit = frequent[at] == hashes
@@ -208,6 +210,10 @@ def best_class(beside: np.ndarray, joint: np.ndarray, lean: float) -> np.ndarray
     return gain.argmax(1)
 
 
+def slot_type(k: int) -> np.dtype:
+    return np.dtype("<u2" if 2 * k <= 1 << 16 else "<u4")
+
+
 def neighbours(state: DataFrame, k: int, classed, min_count: int, end: int) -> DataFrame:
     """(chunk, pos, hash, beside, often) for each chunk and word clustered on its own: slots (the
     next token's class, or k and the previous one's) in the chunk's training texts, one for each
@@ -216,10 +222,10 @@ def neighbours(state: DataFrame, k: int, classed, min_count: int, end: int) -> D
     def run(batches):
         for batch in batches:
             for r in batch.to_pandas().itertuples():
-                at, codes = classed(r.hashes, r.cls), unpack(r.codes)
-                at = at[codes]
-                own = np.flatnonzero((r.c2 >> 1 >= min_count) & (r.hashes != end))
-                rank = np.full(len(r.hashes), -1)
+                hashes, codes = np.frombuffer(r.hashes, np.int64), unpack(r.codes)
+                at = classed(hashes, unpack(r.cls))[codes]
+                own = np.flatnonzero((unpack(r.c2) >> 1 >= min_count) & (hashes != end))
+                rank = np.full(len(hashes), -1)
                 rank[own] = np.arange(len(own))
                 word = rank[codes]
                 took = np.flatnonzero(np.repeat(~r.held, r.lengths) & (word >= 0))
@@ -229,12 +235,12 @@ def neighbours(state: DataFrame, k: int, classed, min_count: int, end: int) -> D
                 few = n <= FEW
                 one, both = np.repeat(key[few], n[few]), key[~few]
                 kinds = (
-                    (one // (2 * k), (one % (2 * k)).astype(SLOT)),
+                    (one // (2 * k), (one % (2 * k)).astype(slot_type(k))),
                     (both // (2 * k), np.stack([both % (2 * k), n[~few]], 1).astype(np.uint32)))
                 for lo in range(0, len(own), 20_000):
                     hi = min(len(own), lo + 20_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(hi - lo, r.chunk)), pa.array(own[lo:hi].astype(np.int32)), pa.array(r.hashes[own[lo:hi]]), *(split_bytes(w, x, lo, hi) for w, x in kinds)],
+                        [pa.array(np.full(hi - lo, r.chunk)), pa.array(own[lo:hi].astype(np.int32)), pa.array(hashes[own[lo:hi]]), *(split_bytes(w, x, lo, hi) for w, x in kinds)],
                         ["chunk", "pos", "hash", "beside", "often"])
 
     return state.select("chunk", "hashes", "codes", "lengths", "held", "c2", "cls").mapInArrow(run, "chunk long, pos int, hash long, beside binary, often binary")
@@ -282,7 +288,7 @@ def placed(rows: DataFrame, k: int, place) -> DataFrame:
                 hi = min(len(starts) - 1, lo + WORDS)
                 a, b = starts[lo], starts[hi]
                 word = np.cumsum(new[a:b]) - 1
-                (one, n_one), (both, n_both) = bytes_of(beside, a, b, SLOT), bytes_of(often, a, b, np.uint32)
+                (one, n_one), (both, n_both) = bytes_of(beside, a, b, slot_type(k)), bytes_of(often, a, b, np.uint32)
                 counts = np.bincount(np.repeat(word, n_one) * 2 * k + one, minlength=(hi - lo) * 2 * k).astype(float)
                 counts += np.bincount(np.repeat(word, n_both // 2) * 2 * k + both[::2], both[1::2], (hi - lo) * 2 * k)
                 counts = counts.reshape(hi - lo, 2 * k)
@@ -306,7 +312,7 @@ def placed(rows: DataFrame, k: int, place) -> DataFrame:
         .groupBy("chunk").agg(F.collect_list("pos").alias("at"), F.collect_list("to").alias("to")))  # neither has nulls: both in one order
 
 
-STATE = "chunk long, doc_ids array<long>, lengths array<int>, held array<boolean>, hashes array<long>, codes binary, c2 array<long>, cls array<int>"
+STATE = "chunk long, doc_ids array<long>, lengths array<int>, held array<boolean>, hashes binary, codes binary, c2 binary, cls binary"
 
 
 def reclassed(state: DataFrame, moves: DataFrame, classed, shift: int, name: str) -> DataFrame:
@@ -316,20 +322,24 @@ def reclassed(state: DataFrame, moves: DataFrame, classed, shift: int, name: str
         for pdf in batches:
             new = []
             for hashes, cls, at, to in zip(pdf["hashes"], pdf["cls"], pdf["at"], pdf["to"]):
-                cls = classed(hashes, cls).astype(np.int32)
+                cls = classed(np.frombuffer(hashes, np.int64), unpack(cls))
                 if at is not None:
                     cls[at] = to + shift
-                new.append(cls)
+                new.append(pack(cls))
             yield pdf.assign(cls=new).drop(columns=["at", "to"])
 
-    return common.cut(state.join(moves, "chunk", "left").mapInPandas(run, STATE), name)
+    moves = common.cut(moves, f"{name}-moves")
+    dropped(state.sparkSession)  # the neighbours' shuffle, before the state's own
+    out = common.cut(state.join(moves, "chunk", "left").mapInPandas(run, STATE), name)
+    dropped(state.sparkSession, moves)
+    return out
 
 
-def dropped(*tables: DataFrame) -> None:
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables that nothing reads any more, and let go of the shuffles behind them."""
     for t in tables:
         common.discard(t)
-    tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def bigrams_of(state: DataFrame, k: int, classed) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +348,7 @@ def bigrams_of(state: DataFrame, k: int, classed) -> tuple[np.ndarray, np.ndarra
     def run(batches):
         for pdf in batches:
             for hashes, codes, lengths, held, c2, cls in zip(pdf["hashes"], pdf["codes"], pdf["lengths"], pdf["held"], pdf["c2"], pdf["cls"]):
-                cls = classed(hashes, cls)
+                cls, c2 = classed(np.frombuffer(hashes, np.int64), unpack(cls)), unpack(c2)
                 at = cls[unpack(codes)]
                 pair = (np.concatenate([[0], at[:-1]]) * k + at)[np.repeat(~held, lengths)]
                 pair, n = np.unique(np.concatenate([pair, k * k + cls[(c2 & 1 == 1) & (c2 > 1)]]), return_counts=True)
@@ -361,6 +371,7 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
     def entries(batches):
         for pdf in batches:
             for c, h, p in zip(pdf["chunk"], pdf["hashes"], pdf["packed"]):
+                h, p = np.frombuffer(h, np.int64), unpack(p)
                 pos = np.arange(len(h), dtype=np.int32)
                 for at in range(0, len(h), 50_000):
                     yield pd.DataFrame({"chunk": c, "pos": pos[at : at + 50_000], "hash": h[at : at + 50_000], "n": p[at : at + 50_000] >> TAIL_BITS})
@@ -381,15 +392,16 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
             for at, found in zip(pdf["at"], pdf["c2"]):
                 c2.append(np.empty(len(at), np.int64))
                 c2[-1][at] = found
-            yield pdf.drop(columns=["packed", "at"]).assign(c2=c2, cls=[(p & (TAIL - 1)).astype(np.int32) for p in pdf["packed"]])
+            yield pdf.drop(columns=["packed", "at"]).assign(c2=[pack(c) for c in c2], cls=[pack(unpack(p) & (TAIL - 1)) for p in pdf["packed"]])
 
     # A word's class is its tail at first.
     state = common.cut(parts.drop("train_tokens").join(back, "chunk").mapInPandas(begun, STATE), "lm-words")
-    dropped(parts, back)
+    dropped(spark, parts, back)
 
     def summed(batches):
         for pdf in batches:
             for h, c2, tail in zip(pdf["hashes"], pdf["c2"], pdf["cls"]):
+                h, c2, tail = np.frombuffer(h, np.int64), unpack(c2), unpack(tail)
                 own, n = (c2 & 1) == 1, c2 >> 1
                 alone = own & (n >= least) & (h != end)
                 rest = own & (n > 0) & (n < least) & (h != end)
@@ -409,7 +421,7 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
     def pairs(batches):
         for pdf in batches:
             for h, tail, codes, lengths, held in zip(pdf["hashes"], pdf["cls"], pdf["codes"], pdf["lengths"], pdf["held"]):
-                at = elements_of(h, tail, frequent, numbers)[unpack(codes)]
+                at = elements_of(np.frombuffer(h, np.int64), unpack(tail), frequent, numbers)[unpack(codes)]
                 key = (np.concatenate([[0], at[:-1]]) * n_elements + at)[np.repeat(~held, lengths)]
                 key, n = np.unique(key, return_counts=True)
                 yield pd.DataFrame({"pair": key, "n": n})
@@ -434,12 +446,12 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
 
     first = state
     state = reclassed(first, placed(neighbours(first, core, in_core, min_count, end), core, grouped), in_core, core, "lm-groups")
-    dropped(first)
+    dropped(spark, first)
 
     def weighed(batches):
         for pdf in batches:
             for codes, lengths, held, cls in zip(pdf["codes"], pdf["lengths"], pdf["held"], pdf["cls"]):
-                group, n = np.unique(cls[unpack(codes)[np.repeat(~held, lengths)]], return_counts=True)
+                group, n = np.unique(unpack(cls)[unpack(codes)[np.repeat(~held, lengths)]], return_counts=True)
                 yield pd.DataFrame({"group": group, "n": n})
 
     weights = state.select("codes", "lengths", "held", "cls").mapInPandas(weighed, "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).toPandas()
@@ -454,9 +466,9 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
         after = reclassed(state, placed(neighbours(state, k, classed, min_count, end), k, lambda beside: best_class(beside, was, lean)), classed, 0, f"lm-moved-{step}")  # noqa: B023
         found = bigrams_of(after, k, lambda _, cls: cls)
         if likelihood(found[0]) <= likelihood(joint):
-            dropped(after)
+            dropped(spark, after)
             break
-        dropped(state)
+        dropped(spark, state)
         state, classed, (joint, class_words) = after, lambda _, cls: cls, found
     class_tokens, n_words = joint.sum(0), int(class_words.sum())
     transition = logs_of(joint, lean) / np.log(10)
@@ -464,7 +476,7 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
     def scored(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                count, cls = r.c2 >> 1, classed(r.hashes, r.cls)
+                count, cls = unpack(r.c2) >> 1, classed(np.frombuffer(r.hashes, np.int64), unpack(r.cls))
                 emit = np.log10((count + 1) / (class_tokens + class_words + 1)[cls])
                 base = np.log10((count + 1) / (n_tokens + n_words + 1))
                 codes = unpack(r.codes)
