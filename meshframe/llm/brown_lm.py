@@ -43,7 +43,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -329,19 +329,12 @@ def reclassed(state: DataFrame, moves: DataFrame, classed, shift: int, name: str
             yield pdf.assign(cls=new).drop(columns=["at", "to"])
 
     moves = common.cut(moves, f"{name}-moves")
-    dropped(state.sparkSession)  # the neighbours' shuffle, before the state's own
+    common.discard(state.sparkSession)  # the neighbours' shuffle, before the state's own
     out = common.cut(state.join(moves, "chunk", "left").mapInPandas(run, STATE), name)
-    dropped(state.sparkSession, moves)
+    common.discard(state.sparkSession, moves)
     return out
 
 
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables that nothing reads any more, and let go of the shuffles behind them."""
-    for t in tables:
-        common.discard(t)
-    spark._jvm.System.gc()
-
-
 def bigrams_of(state: DataFrame, k: int, classed) -> tuple[np.ndarray, np.ndarray]:
     """Training counts of class after class, and the classes' distinct words."""
 
@@ -383,6 +376,7 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
         parts.select("chunk", "hashes", "packed").mapInPandas(entries, "chunk long, pos int, hash long, n long")
         .select("chunk", "pos", (F.sum("n").over(w) * 2 + (F.col("chunk") == F.min("chunk").over(w)).cast("long")).alias("c2"))
         .groupBy("chunk").agg(F.collect_list("pos").alias("at"), F.collect_list("c2").alias("c2")), "lm-counts")
+    common.discard(spark)
     end = np.uint64(xxhash.xxh3_64_intdigest(END)).astype(np.int64)
     least = max(1.0, min_share * n_tokens)
 
@@ -396,7 +390,7 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
 
     # A word's class is its tail at first.
     state = common.cut(parts.drop("train_tokens").join(back, "chunk").mapInPandas(begun, STATE), "lm-words")
-    dropped(spark, parts, back)
+    common.discard(spark, parts, back)
 
     def summed(batches):
         for pdf in batches:
@@ -446,7 +440,7 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
 
     first = state
     state = reclassed(first, placed(neighbours(first, core, in_core, min_count, end), core, grouped), in_core, core, "lm-groups")
-    dropped(spark, first)
+    common.discard(spark, first)
 
     def weighed(batches):
         for pdf in batches:
@@ -466,9 +460,9 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
         after = reclassed(state, placed(neighbours(state, k, classed, min_count, end), k, lambda beside: best_class(beside, was, lean)), classed, 0, f"lm-moved-{step}")  # noqa: B023
         found = bigrams_of(after, k, lambda _, cls: cls)
         if likelihood(found[0]) <= likelihood(joint):
-            dropped(spark, after)
+            common.discard(spark, after)
             break
-        dropped(spark, state)
+        common.discard(spark, state)
         state, classed, (joint, class_words) = after, lambda _, cls: cls, found
     class_tokens, n_words = joint.sum(0), int(class_words.sum())
     transition = logs_of(joint, lean) / np.log(10)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,13 +66,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that cut() made and no lazy plan needs any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(conf).delete(at, True)
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of cut() that no lazy plan needs any more, and let go of the shuffles behind
+    what has been written, which Spark deletes when the driver's garbage collector finds them."""
+    conf = spark._jsc.hadoopConfiguration()
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(conf).delete(at, True)
+    gc.collect()
+    for _ in range(2):
+        time.sleep(1.2)  # the gateway lets go of Python's objects once a second, listeners of the last plan
+        spark._jvm.System.gc()
 
 
 def trim() -> None:
