@@ -19,6 +19,7 @@ an empty table gives none; pages of any length are read whole; further columns a
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import math
@@ -40,8 +41,15 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = frozenset("ul ol dl table article section div body html main aside nav footer header form blockquote".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)|[^<]+|<""", re.S)
-_NAMES = re.compile(r"""(?:^|\s)(class|id|role|data-keep)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+def _tokens(attributes: str) -> re.Pattern:
+    return re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)({attributes})>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)|[^<]+|<""", re.S)
+
+
+#: From the first tag on whose quotes would swallow all the rest, quotes end at < and > as well.
+_TOKEN = _tokens(r"""(?:[^>"']|"[^"]*"|'[^']*')*+""")
+_BROKEN = _tokens(r"""(?:[^<>"']|"[^"<>]*"|'[^'<>]*')*+""")
+_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_LABEL = re.compile(r'data-keep="([01])"')
 _PART = re.compile(r"[a-z]+|\d+")
 _END = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW}
 
@@ -78,29 +86,66 @@ class Node:
 
 
 @functools.lru_cache(maxsize=50_000)
-def _kinds(tag: str, attributes: str) -> tuple[int, int | None]:
-    """Bits for the tag and the hints of its attributes; the label that a training page gives."""
-    bits, keep = (1 << _TAG[tag] if tag in _TAG else 0), None
+def _kinds(tag: str, attributes: str) -> int:
+    """Bits for the tag and the hints of its attributes."""
+    bits = 1 << _TAG[tag] if tag in _TAG else 0
     if "=" in attributes:
-        for name, *values in _NAMES.findall(attributes):
+        for values in _NAMES.findall(attributes):
             value = next((v for v in values if v), "")
-            if name.lower() == "data-keep":
-                keep = int(value)
-                continue
             for part in _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()):
                 for k, hints in enumerate(HINTS):
                     if part in hints:
                         bits |= 1 << len(TAGS) + k
-    return bits, keep
-
-
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes in page order, the root first, and the blocks of text with their nodes' numbers."""
+    return bits
+
+
+class Open:
+    """The open elements, the root first, and where on the stack those of each tag are."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.scopes = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, n: int) -> list[Node]:
+        """Take the elements from n on off the stack."""
+        gone = self.stack[n:]
+        del self.stack[n:]
+        for node in gone:
+            self.at[node.tag].pop()
+            if node.tag in SCOPE:
+                self.scopes.pop()
+        return gone
+
+    def last(self, tag: str) -> int:
+        """Where the innermost element of a tag is; 0 for none."""
+        own = self.at.get(tag)
+        return own[-1] if own else 0
+
+    def within(self, tags) -> int:
+        """Where the outermost element of these tags inside the innermost scope is; 0 for none."""
+        scope, first = self.scopes[-1], 0
+        for tag in tags:
+            own = self.at.get(tag)
+            if own and own[-1] > scope:
+                here = own[bisect.bisect(own, scope)]
+                first = min(first or here, here)
+        return first
+
+
+def parse(page: str, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
+    """Block nodes in page order, the root first, and the blocks of text with their nodes' numbers.
+    Nodes carry labels only where the page is one that Pages wrote."""
     root = Node("html", None, 0, None, 0)
-    nodes, numbers, stack = [root], {id(root): 0}, [root]
+    nodes, numbers, opened = [root], {id(root): 0}, Open(root)
+    stack = opened.stack
     blocks: list[tuple[int, str]] = []
     held: list[str] = []
-    at, size, silent, link, total = 0, len(page), 0, False, 0
+    at, size, silent, link, total, token = 0, len(page), 0, False, 0, _TOKEN
 
     def flush():
         nonlocal held
@@ -114,14 +159,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nonlocal silent, link
         flush()
         link = False
-        for node in stack[n:]:
+        for node in opened.cut(n):
             silent -= node.tag in SILENT
-        del stack[n:]
 
     while at < size:
-        m = _TOKEN.match(page, at)
+        m = token.match(page, at)
         at = m.end()
         tag = m[2] or m[5]
+        if m[5]:
+            token = _BROKEN
         if tag is None:
             piece = m[0]
             if piece[0] == "<" and len(piece) > 1:
@@ -148,7 +194,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag == "a":
                 link = False
             if tag not in INLINE:
-                n = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+                n = opened.last(tag)
                 if n:
                     close(n)
                 elif tag == "br":
@@ -163,15 +209,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if tag == "a":
                 link = True
             continue
-        if tag in CLOSES_P:
-            n = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p" or stack[k].tag in SCOPE), 0)
-            if n and stack[n].tag == "p":
-                close(n)
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in CLOSES.get(tag, ()):
-                close(k)
-            elif stack[k].tag in SCOPE:
-                break
+        if tag in CLOSES_P and opened.last("p") > opened.scopes[-1]:
+            close(opened.last("p"))
+        if tag in CLOSES and (n := opened.within(CLOSES[tag])):
+            close(n)
         if tag == "body" and silent:  # a head that nobody closed
             close(next(k for k in range(len(stack)) if stack[k].tag in SILENT))
         flush()
@@ -184,10 +225,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         if tag in SILENT and attributes.endswith("/"):
             continue
-        node = Node(tag, stack[-1], *_kinds(tag, attributes), total)
+        label = _LABEL.search(attributes) if labelled else None
+        node = Node(tag, stack[-1], _kinds(tag, attributes), int(label[1]) if label else None, total)
         numbers[id(node)] = len(nodes)
         nodes.append(node)
-        stack.append(node)
+        opened.push(node)
         silent += tag in SILENT
     flush()
     return nodes, blocks
@@ -414,7 +456,7 @@ def trained(pages: int = 900, seed: int = 5) -> Boosted:
     """The model, from as many generated pages."""
     writer, x, y = Pages(seed), [], []
     for _ in range(pages):
-        nodes, _ = parse(writer.page())
+        nodes, _ = parse(writer.page(), True)
         rows = features(nodes)
         known = [i for i, n in enumerate(nodes) if n.keep is not None and n.chars]
         x.append(rows[known])
