@@ -39,6 +39,21 @@ def id_back(df: DataFrame, like: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast(like.schema[column].dataType))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, longer where a column of the table has it already (Spark ignores case)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as a table with a key of their own, written, so that every later job finds the same
+    keys; and the key's name."""
+    key = unused(df, "row_key")
+    return cut(df.withColumn(key, F.monotonically_increasing_id()), name), key
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where
     that is unset, which only a local session may do."""

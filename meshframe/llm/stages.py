@@ -16,16 +16,16 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the row with the least doc_id, a null one last; of
     rows with the same doc_id one. Documents without words stay."""
-    rid = "__rid__"
-    rows = docs.withColumn(rid, F.monotonically_increasing_id())
-    found = jaccard.join(rows.select(F.col(rid).alias("doc_id"), "text")).select(F.col("doc_id").alias(rid), "component_id")
+    rows, key = common.keyed(docs, "near-documents")
+    own = rows.select("doc_id", F.col(key).alias("key"))
+    found = jaccard.join(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
     best = (
-        found.join(rows.select(rid, "doc_id"), rid)
-        .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", rid)).alias("best"))
-        .select(F.col(f"best.{rid}").alias(rid))
+        found.join(own, "key")
+        .groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"))
+        .select(F.col("best.key").alias(key))
     )
     # As many rows as documents: never to be broadcast, however small at the time.
-    return rows.join(common.cut(best, "distinct-rows").hint("merge"), rid, "left_semi").drop(rid)
+    return rows.join(common.cut(best, "distinct-rows").hint("merge"), key, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

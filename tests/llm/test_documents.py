@@ -323,19 +323,59 @@ def test_targets():
     assert mixing.targets([], [], 1.5, 2) == []
 
 
+def mix_by_force(rows):
+    """(size, source_size, target) by row, and the targets by source; rows are (doc_id, text, source)."""
+    sizes = [len(words(t)) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(sizes, rows) if r[2] == s) for s in names}
+    weight, left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, 1.5 * sum(sizes)
+    goal, open_ = {}, list(names)
+    while open_:
+        each = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if each * weight[s] > 2 * total[s]]
+        for s in full or open_:
+            goal[s] = 2.0 * total[s] if full else each * weight[s]
+            left -= goal[s]
+        open_ = [s for s in open_ if s not in goal]
+    return [(n, total[r[2]], goal[r[2]]) for n, r in zip(sizes, rows)], total, goal
+
+
 def test_mixing(table, documents):
-    got = mixing.mix(table("documents"), block_words=8).collect()
-    sizes = {i: len(words(t)) for i, t in texts_of(table("documents"))}
-    source = {r.doc_id: r.source for r in table("documents").collect()}
-    assert {r.doc_id: r.size for r in got} == sizes
-    names = sorted(set(source.values()))
-    total = {s: sum(n for i, n in sizes.items() if source[i] == s) for s in names}
-    goal = dict(zip(names, mixing.targets([total[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))], 1.5, 2)))
-    for s in names:
-        rows = [r for r in got if source[r.doc_id] == s]
-        assert all(r.source_size == total[s] and r.target == pytest.approx(goal[s]) and 0 <= r.taken <= 2 * r.size for r in rows)
-        assert abs(sum(r.taken for r in rows) - goal[s]) <= max(40, 0.03 * goal[s])
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(table("documents"), block_words=8).collect()))
+    many = documents([(i, " ".join(["w"] * (1 + i % 7))) for i in range(600)], source=lambda k: f"s{k % 40:02}")  # 40 sources of a few dozen words
+    tiny = documents([(i, "a b c") for i in range(9)], source=lambda k: f"s{k}")
+    for df in (table("documents"), many, tiny):
+        rows = [(r.doc_id, r.text, r.source) for r in df.collect()]
+        want, total, goal = mix_by_force(rows)
+        got = mixing.mix(df).collect()
+        assert sorted((r.doc_id, r.size, r.source_size) for r in got) == sorted((i, n, t) for (i, *_), (n, t, _) in zip(rows, want))
+        source = {i: s for i, _, s in rows}
+        for s in total:
+            own = [r for r in got if source[r.doc_id] == s]
+            assert all(r.target == pytest.approx(goal[s]) and 0 <= r.taken <= 2 * r.size for r in own)
+            assert abs(sum(r.taken for r in own) - goal[s]) <= mixing.grain(total[s])
+        assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+        assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
+
+
+def test_schedule(spark):
+    quotas = [700, 0, 3, 1, 90_000, 40_000]
+    slots = sorted(mixing.schedule(spark, quotas).collect(), key=lambda r: r.slot)
+    assert len({r.slot for r in slots}) == len(slots) == sum(quotas)
+    for s, q in enumerate(quotas):
+        assert [r["rank"] for r in slots if r.src == s] == list(range(q))
+    for at in range(10_000, 130_000, 10_000):
+        seen = collections.Counter(r.src for r in slots[:at])
+        assert all(abs(seen[s] - q * at / sum(quotas)) <= 8 for s, q in enumerate(quotas))
+    assert mixing.schedule(spark, []).count() == mixing.schedule(spark, [0]).count() == 0
+
+
+def test_mixed_order(documents):
+    df = documents([(i, " ".join(["w"] * 40)) for i in range(900)], source=lambda k: "abc"[k % 3])
+    first = {r.doc_id: r.first_slot for r in mixing.mix(df).collect()}
+    got = [r.doc_id for r in mixing.mixed_documents(df).collect()]
+    once = [first[i] for i in dict.fromkeys(got)]
+    assert set(got) <= set(first) and len(got) > len(set(got))
+    assert sum(a is not None and b is not None and a > b for a, b in zip(once, once[1:])) < 0.05 * len(once)
 
 
 def test_mixing_odd_rows(documents):
