@@ -270,21 +270,82 @@ def test_exchange_raises_the_likelihood():
 # Decontamination
 
 
+def plain_words(t):
+    out = [w.decode("utf-8", "surrogatepass") for w in words(t)]
+    out = [re.sub(r"^[\W_]+|[\W_]+$", "", w.lower()) for w in out]
+    return [w for w in out if w]
+
+
+def overlaps_by_force(rows, items):
+    """Every text against every item along every diagonal, word by word."""
+    out = []
+    for i, t in rows:
+        text = plain_words(t)
+        for j, u in items:
+            item = plain_words(u)
+            need = min(12, math.ceil(0.8 * len(item) - 1e-9))
+            best = None
+            for first in range(1 - len(item), len(text)) if len(item) >= 5 else ():
+                place = range(max(0, first), min(len(text), first + len(item)))
+                same = [k for k in place if text[k] == item[k - first]]
+                stretch = (same[0], same[-1] + 1, len(same)) if same else (0, 0, 0)
+                if len(item) > 14:  # the stretch with the highest score
+                    top, score, agree, begin = 0, -1, 0, 0
+                    for k in place:
+                        if score < 0:
+                            begin, agree, score = k, 0, 0
+                        score, agree = (score + 1, agree + 1) if text[k] == item[k - first] else (score - 2, agree)
+                        if score > top:
+                            top, stretch = score, (begin, k + 1, agree)
+                if stretch[2] >= need and (best is None or stretch[2] > best[2]):
+                    best = stretch
+            if best:
+                out.append((i, j, *best, len(item)))
+    return sorted(out, key=str)
+
+
+def overlap_rows(df, bench):
+    return sorted(((x.doc_id, x.item_id, x.start, x.end, x.n_match, x.n_item) for x in decontaminate.hits(df, bench).collect()), key=str)
+
+
 def test_decontamination(spark, documents):
     r = random.Random(6)
     item = [f"q{r.randrange(10**6)}" for _ in range(30)]
     one_off = item[:14] + ["other"] + item[15:]
     filler = lambda n: [f"f{r.randrange(10**6)}" for _ in range(n)]
-    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "three little words"), (None, " ".join(filler(20)))], "item_id long, text string")
-    rows = EDGES + [(30, " ".join(filler(9) + item + filler(9))), (31, " ".join(filler(9) + one_off + filler(2))), (32, " ".join(filler(50))), (33, " ".join(item[:6] + filler(30))), (34, "So: three LITTLE words!"), (35, " ".join(w.upper() + "," for w in item[5:25]))]
-    for block in (5000, 1):
-        got = sorted((x.doc_id, x.item_id, x.start, x.end, x.n_match) for x in decontaminate.hits(documents(rows), bench, block).collect())
-        assert got == [(30, 1, 9, 39, 30), (31, 1, 9, 39, 29), (34, 4, 1, 4, 3), (35, 1, 0, 20, 20)]
-        kept = decontaminate.clean(documents(rows), bench, block)
-        assert kept.columns == documents(rows).columns
-        assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(i) for i, _ in rows if i not in (30, 31, 34, 35))
-    assert decontaminate.hits(documents(rows), bench.limit(0)).count() == 0
-    assert decontaminate.hits(documents(rows).limit(0), bench).count() == 0
+    items = [(1, " ".join(item)), (2, None), (3, ""), (4, "three little words"), (None, " ".join(filler(20))), (5, "yes"), (6, " ".join(item))]
+    rows = EDGES + [(30, " ".join(filler(9) + item + filler(9))), (31, " ".join(filler(9) + one_off + filler(2))), (32, " ".join(filler(50))), (33, " ".join(item[:6] + filler(30))), (34, "So: three LITTLE words! and yes it is so"), (35, " ".join(w.upper() + "," for w in item[5:25])), (36, " ".join(item + filler(5) + item[:20]))]
+    rows += [(37, rows[-1][1])] * 2
+    lengths = []
+    for n in range(4, 16):  # an item of each short length, with each set of as many other words as it may miss
+        own = [f"s{n}x{k}" for k in range(n)]
+        items.append((100 + n, " ".join(own)))
+        for out in [(k,) for k in range(n)] + ([(j, k) for k in range(n) for j in range(k)] if n >= 10 else []):
+            lengths.append((1000 * n + len(lengths), " ".join(filler(3) + ["other" if k in out else w for k, w in enumerate(own)] + filler(2))))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows += lengths
+    want = overlaps_by_force([x for x in rows if x[0] not in (6, 7)], items)
+    short = [x for x in want if x[1] is None or not 100 <= x[1] or x[5] <= decontaminate.SHORT]
+    got = overlap_rows(documents(rows), bench)
+    assert set(got) <= set(want) and set(short) <= set(got) and len(got) > 0.9 * len(want)
+    kept = decontaminate.clean(documents(rows), bench)
+    assert kept.columns == documents(rows).columns
+    leaked = {x[0] for x in got}
+    assert sorted(str(x.doc_id) for x in kept.collect()) == sorted(str(i) for i, _ in rows if i not in leaked)
+    for a, b in ((documents(rows), bench.limit(0)), (documents(rows).limit(0), bench)):
+        assert decontaminate.hits(a, b).count() == 0 and decontaminate.clean(a, b).count() == a.count()
+
+
+def test_decontamination_of_many_items(spark, documents):
+    r = random.Random(7)
+    items = [(k, " ".join(f"w{r.randrange(300)}" for _ in range(r.choice((5, 9, 16, 40))))) for k in range(6000)]
+    rows = [(k, " ".join(f"w{r.randrange(300)}" for _ in range(60))) for k in range(40)]
+    rows += [(100 + k, " ".join([*(f"w{r.randrange(300)}" for _ in range(r.randrange(9))), t, "w1 w2"])) for k, (_, t) in enumerate(items[::150])]
+    some = [x for x in items if x[0] % 150 == 0 or x[0] % 25 == 1]
+    want = overlaps_by_force(rows, some)
+    known = {j for j, _ in some}
+    got = [x for x in overlap_rows(documents(rows), spark.createDataFrame(items, "item_id long, text string")) if x[1] in known]
+    assert set(got) <= set(want) and {x[0] for x in got if x[0] >= 100} == set(range(100, 140))
 
 
 # Quality
