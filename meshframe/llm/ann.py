@@ -2,15 +2,20 @@
 
 Each tree cuts space by hyperplanes between two random vectors of the node, at the median, and is
 fitted to a bounded sample; every vector is indexed in a leaf of each tree. A query walks all
-trees at once through one priority queue, ordered by how far the query lies beyond the cuts on the
-way to a node, and takes leaves until they hold enough vectors. The candidates' cosines are then
-computed exactly, in double precision, on the original vectors.
+trees at once through one priority queue, ordered by the chance that a neighbour lies in a node:
+the product, over the cuts on the way, of a normal distribution's share on that side, whose width
+is the distance of the query's k-th neighbour in the sample over the square root of the dimension.
+The candidates' cosines are then computed exactly, in double precision, on the original vectors.
 
-Of equal vectors only the k + 1 with the least ids can be among anyone's k nearest, and only those
-are indexed, so that no leaf fills up with copies. Leaves travel in buckets of a bounded size.
+A query stops when its chance of missing a neighbour in all trees, as the leaves taken leave it, has
+fallen to a threshold. That is fitted to the sample: vectors of it search their own neighbours in
+it, and the threshold is where RECALL of these are found. In the whole table neighbours are nearer,
+so that no fewer are. How many leaves that takes is the data's own affair: few where vectors are
+clustered, a third of all vectors where they are noise, whatever the table's size.
 
-search_share is the share of all vectors that the leaves of a query hold together: vectors without
-any structure, as random ones, need most of them for a recall of 0.9, clustered ones far fewer.
+Of equal vectors only the k + 1 with the least ids can be among anyone's k nearest, and only those
+are indexed, so that no leaf fills up with copies. Of a leaf all vectors are reranked that a rough
+cosine does not rule out, ties too. Leaves travel in buckets of a bounded size.
 
 Odd cases: vectors that are null, empty, zero or hold null or non-finite components, those of
 another length than most of the sample, and rows without an id take no part; ties go to the lesser
@@ -21,7 +26,9 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +38,11 @@ from pyspark.sql.window import Window
 
 from . import common
 
+#: Vectors of the sample that search it, and the share of their neighbours that has to be found.
+ASKED, RECALL = 200, 0.96
+#: Rough cosines differ from exact ones by far less.
+ROUGH = 1e-9
+
 
 class Tree:
     """Cuts of one tree. Children below zero are leaves: ~child is the leaf's number."""
@@ -89,24 +101,73 @@ class Forest:
         """Leaf of each vector in each tree, numbered over all trees."""
         return np.stack([t.leaf_of(unit) + f for t, f in zip(self.trees, self.first)], 1)
 
-    def search(self, unit: np.ndarray, sizes: np.ndarray, enough: int) -> list[int]:
-        """Leaves for one query, best first, until they hold enough vectors."""
-        queue, out, held = [], [], 0
-        margins = []
+    def walk(self, unit: np.ndarray, width: float) -> Iterator[tuple[int, float]]:
+        """Leaves for one query, best first, each with the chance that a neighbour of the query is
+        in none of those so far."""
+        queue, missed, sides = [], np.ones(len(self.trees)), []
         for k, t in enumerate(self.trees):
-            margins.append((t.normals @ unit - t.at).tolist() if len(t.normals) else [])
-            heapq.heappush(queue, (-np.inf, k, 0 if len(t.normals) else -1))
-        while queue and held < enough:
-            far, k, node = heapq.heappop(queue)
-            kids, margin = self.trees[k].kids, margins[k]
-            while node >= 0:  # down the near side; the far side waits in the queue
-                z = margin[node]
-                near = 1 if z > 0 else 0
-                heapq.heappush(queue, (max(far, abs(z)), k, int(kids[node, 1 - near])))
-                node = int(kids[node, near])
-            leaf = int(self.first[k]) + ~node
-            out.append(leaf)
-            held += int(sizes[leaf])
+            z = (t.normals @ unit - t.at) / width if len(t.normals) else np.empty(0)
+            sides.append((_log_normal(-z).tolist(), _log_normal(z).tolist()))
+            queue.append((-0.0, k, 0 if len(t.normals) else -1))
+        while queue:
+            log, k, node = heapq.heappop(queue)
+            if node < 0:
+                missed[k] = max(0.0, missed[k] - math.exp(-log))
+                yield int(self.first[k]) + ~node, float(missed.prod())
+                continue
+            for side, kid in enumerate(self.trees[k].kids[node].tolist()):
+                heapq.heappush(queue, (log - sides[k][side][node], k, kid))
+
+
+def _log_normal(z: np.ndarray) -> np.ndarray:
+    """Logarithm of the normal distribution function, by a logistic function near it."""
+    return -np.logaddexp(0.0, -(1.5976 * z + 0.070565 * z**3))
+
+
+class Search:
+    """A forest with what the sample tells of distances and of when to stop."""
+
+    def __init__(self, sample: np.ndarray, trees: int, leaf: int, k: int, seed: int):
+        self.forest, self.k = Forest(sample, trees, leaf, seed), k
+        self.sample = sample.astype(np.float32)
+        rng = np.random.default_rng(seed)
+        self.least = 0.0
+        if len(sample) <= k + 1:
+            return
+        some = rng.choice(len(sample), min(ASKED, len(sample)), replace=False)
+        near = np.argsort(-(sample[some] @ sample.T), axis=1, kind="stable")[:, : k + 1]
+        leaves, ends = self.forest.leaves_of(sample), []
+        for unit, width, row, own in zip(sample[some], self.widths(sample[some]), near, some):
+            wanted = [set(leaves[i].tolist()) for i in row if i != own][:k]
+            before = 1.0
+            for number, missed in self.forest.walk(unit, width):
+                found = [w for w in wanted if number in w]
+                ends += [before] * len(found)
+                wanted = [w for w in wanted if number not in w]
+                before = missed
+                if not wanted:
+                    break
+        # A leaf is taken while the chance is above this: so RECALL of the neighbours were found.
+        self.least = float(np.quantile(ends, 1 - RECALL, method="lower")) * (1 - 1e-9)
+
+    def widths(self, unit: np.ndarray) -> np.ndarray:
+        """How far a neighbour of each query may lie from it along a cut's normal. A query that
+        is in the sample finds itself there first."""
+        k = min(self.k + 1, len(self.sample)) - 1
+        near = -np.partition(-(unit.astype(np.float32) @ self.sample.T), k, axis=1)[:, k] if len(self.sample) else np.zeros(len(unit))
+        return np.sqrt(np.maximum(2 - 2 * near.astype(np.float64), 1e-6) / max(1, unit.shape[1]))
+
+    def leaves(self, unit: np.ndarray) -> list[list[int]]:
+        """Leaves that each query takes."""
+        out = []
+        for u, width in zip(unit, self.widths(unit)):
+            out.append([])
+            before = 1.0
+            for number, missed in self.forest.walk(u, width):
+                if before < self.least:
+                    break
+                out[-1].append(number)
+                before = missed
         return out
 
 
@@ -127,13 +188,18 @@ def unit_rows(vectors, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     return np.array(ok, np.int64), out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors, however large or small."""
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines of a vector with others, each row's by the same sums wherever it stands."""
     return (rows * query).sum(1) / np.sqrt((rows * rows).sum(1) * (query * query).sum())
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 10, leaf: int = 64, search_share: float = 0.8,
-            least_search: int = 5000, max_sample: int = 20_000, bucket_rows: int = 40_000, seed: int = 3) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 10, leaf: int = 64, max_sample: int = 20_000, bucket_rows: int = 40_000, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (vec_id, embedding) among
     vectors (vec_id, embedding) with another id."""
     spark = vectors.sparkSession
@@ -146,7 +212,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 10,
     # The sample: at most max_sample vectors, those with the least hashes of their ids.
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).toPandas()["embedding"]
     _, unit = unit_rows(sample)
-    forest = Forest(unit, trees, max(8, leaf * len(unit) // max(n, 1)) if n > max_sample else leaf, seed)
+    search = Search(unit, trees, max(8, leaf * len(unit) // max(n, 1)), k, seed)
+    forest = search.forest
     dim, n_leaves = forest.dim, int(forest.first[-1])
 
     def indexed(batches):
@@ -165,7 +232,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 10,
     sizes = np.zeros(n_leaves, np.int64)
     for r in placed.groupBy("leaf").agg(F.count("*").alias("c")).collect():
         sizes[r["leaf"]] = r["c"]
-    enough = max(least_search, int(search_share * n))
     buckets = max(1, -(-n * trees // bucket_rows))
     # A leaf with more rows than a bucket should have is dealt over several.
     parts = np.maximum(1, -(-sizes // bucket_rows))
@@ -173,7 +239,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 10,
     def asked(batches):
         for pdf in batches:
             ok, unit = unit_rows(pdf["embedding"], dim)
-            found = [forest.search(u, sizes, enough) for u in unit]
+            found = search.leaves(unit)
             ids = pdf["vec_id"].to_numpy()[ok]
             raw = np.array([np.asarray(pdf["embedding"].iloc[i], np.float64) for i in ok]).reshape(len(ok), dim)
             q = np.repeat(np.arange(len(found)), [len(x) for x in found])
@@ -188,7 +254,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 10,
                 yield pd.DataFrame({"bucket": [int(b)], "ids": [ids[who].tobytes()], "raw": [raw[who].tobytes()], "who": [local.astype(np.int32).tobytes()], "leaf": [at[here].astype(np.int32).tobytes()]})
 
     def compared(index, asking):
-        best: dict[int, dict[int, float]] = {}
+        best: dict[int, tuple] = {}
         groups = index.groupby("leaf").indices
         ids, raw = index["vec_id"].to_numpy(), index["raw"].to_numpy()
         held: dict[int, tuple] = {}
@@ -202,20 +268,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, trees: int = 10,
                     continue
                 if number not in held:
                     m = np.array([np.frombuffer(x) for x in raw[groups[number]]])
-                    held[number] = ids[groups[number]], m, m / np.linalg.norm(m / np.abs(m).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(m).max(1, keepdims=True)
+                    held[number] = ids[groups[number]], m, scaled(m)
                 vec, m, u = held[number]
-                rough = qraw[who[own]] @ u.T  # picks; the exact cosines follow
-                take = min(len(vec), 2 * k + 6)
-                picked = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-                for w, p in zip(who[own], picked):
-                    mine = best.setdefault(int(qid[w]), {})
-                    for v, c in zip(vec[p].tolist(), cosines(qraw[w], m[p]).tolist()):
-                        if v != qid[w]:
-                            mine[v] = c
-                    if len(mine) > 8 * k:
-                        best[int(qid[w])] = dict(sorted(mine.items(), key=lambda x: (-x[1], x[0]))[:k])
-        out = [(q, v, c) for q, mine in best.items() for v, c in sorted(mine.items(), key=lambda x: (-x[1], x[0]))[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                rough = scaled(qraw[who[own]]) @ u.T  # rules out; the exact cosines follow
+                last = min(len(vec), k + 1)  # the query itself may be among them
+                least = np.partition(rough, len(vec) - last, axis=1)[:, len(vec) - last] - ROUGH
+                for w, cosine, bound in zip(who[own], rough, least):
+                    p = np.flatnonzero(cosine >= bound)
+                    p = p[vec[p] != qid[w]]
+                    old = best.get(int(qid[w]), (np.empty(0, np.int64), np.empty(0)))
+                    v, at = np.unique(np.append(old[0], vec[p]), return_index=True)
+                    c = np.append(old[1], cosines(qraw[w], m[p]))[at]
+                    first = np.lexsort((v, -c))[:k]
+                    best[int(qid[w])] = v[first], c[first]
+        return pd.DataFrame([(q, v, c) for q, (vs, cs) in best.items() for v, c in zip(vs.tolist(), cs.tolist())], columns=["query_id", "vec_id", "score"])
 
     many = [int(x) for x in np.flatnonzero(parts > 1)]
     part = F.pmod(F.xxhash64("vec_id"), F.element_at(F.create_map(*[F.lit(y) for x in many for y in (x, int(parts[x]))]), F.col("leaf"))) if many else F.lit(None)

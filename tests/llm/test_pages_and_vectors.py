@@ -5,6 +5,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from meshframe.llm import ann, html_extract
 
 
@@ -27,6 +29,7 @@ def test_pages_table(table):
 
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain text only"), (4, "u", "<p>unclosed <b>bold<div>x"), (5, "u", "<<>&&#x41;&bogus;</p></x><!-- "), (None, "u", "<article><p>a&nbsp;&amp; b<br>c</p></article>"), (7, "u", "<script>while(1)"), (8, "u", "<div " * 2000), (9, "u", "<article>" + "<p>many words here, again.</p>" * 20_000 + "</article>")]
+    pages += [(10, "u", '<div data-keep="true"><article data-keep="no"><p>kept, whatever the attribute says, in a sentence.</p></article></div>'), (11, "u", "<x>" * 100_000 + "deep"), (12, "u", "<x>" * 50_000 + "</y>" * 50_000), (13, "u", "<a '>' " * 50_000)]
     df = spark.createDataFrame([(*p, "x") for p in pages + [pages[3]]], "page_id long, url string, html string, text string")
     got = [(r.page_id, r.text) for r in html_extract.main_text(df).collect()]
     assert len(got) == len(pages) + 1
@@ -70,17 +73,47 @@ def test_small_search_is_exact(spark):
     assert ann.nearest(few, few).count() == 6
 
 
-def test_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    p = e.toPandas()
-    unit = np.array(p.embedding.tolist(), float)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    found = ann.nearest(e, e.where("vec_id % 50 = 0"), least_search=2500).toPandas()
+def test_ties(spark):
+    """Multiples of one vector by powers of two, all with a cosine of exactly 1, in full leaves."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=16)
+    rows = [(i, (v * 2.0 ** (i - 30)).tolist()) for i in range(60)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id in (0, 50)")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert [(k, i) for k, i, _ in sorted(got[0])] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    assert [(k, i) for k, i, _ in sorted(got[50])] == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
+    assert len({c for x in got.values() for *_, c in x}) == 1
+
+
+def recall(spark, df, vectors, ids):
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    found = ann.nearest(df, df.where("vec_id % 50 = 0")).toPandas()
     hits = total = 0
     for q, g in found.groupby("query_id"):
-        i = int(np.flatnonzero(p.vec_id == q)[0])
+        i = int(np.flatnonzero(ids == q)[0])
         c = unit @ unit[i]
         c[i] = -2
-        hits += len(set(g.vec_id) & set(p.vec_id[np.argsort(-c)[:5]]))
+        hits += len(set(g.vec_id) & set(ids[np.argsort(-c)[:5]]))
         total += 5
-    assert hits / total >= 0.9
+    return hits / total
+
+
+def test_recall_of_the_query(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    p = e.toPandas()
+    assert recall(spark, e, np.array(p.embedding.tolist(), float), p.vec_id.to_numpy()) >= 0.9
+
+
+def test_recall_beyond_the_sample(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    noise = rng.normal(size=(24_000, 64))
+    centres = rng.normal(size=(300, 64))
+    near = centres[rng.integers(0, 300, 24_000)] + 0.3 * rng.normal(size=(24_000, 64))
+    for name, x in (("noise", noise), ("near", near)):
+        pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": list(x)}), tmp_path / f"{name}.parquet")
+        assert recall(spark, spark.read.parquet(f"file://{tmp_path}/{name}.parquet"), x, np.arange(len(x))) >= 0.9
+    search = ann.Search(near[:20_000] / np.linalg.norm(near[:20_000], axis=1, keepdims=True), 10, 53, 5, 3)
+    taken = [len(x) for x in search.leaves(near[20_000:20_100] / np.linalg.norm(near[20_000:20_100], axis=1, keepdims=True))]
+    assert np.mean(taken) < 0.02 * search.forest.first[-1]
