@@ -5,10 +5,15 @@ vocabulary allows, else 32-bit), then one unsigned 32-bit token count for each d
 footer of three unsigned 64-bit numbers (documents, tokens, bytes of an id) and 8 magic bytes.
 
 Index: keys are dealt by hash to parts of about PART_KEYS; each part is one file with a minimal
-perfect hash (levels of bit arrays with ranks), and for each slot a stored 32-bit fingerprint,
-the shard, the ordinal of the key's first document in it and the number of its documents. A
-lookup hashes the key, tests one bit for each level (about 1.5 of them on average), compares the fingerprint and seeks
-into the shard; no other key is read.
+perfect hash (levels of bit arrays with ranks), and for each slot a stored 32-bit fingerprint, the
+shard, the offset of the key's first id there, the number of its ids, and the ordinal of its first
+document with the number of its documents and of the shards that they go on through. A lookup
+hashes the key, tests one bit for each level (about 1.5 of them on average), compares the
+fingerprint, and reads the ids at the offset; no other key's ids are read. Only where documents
+share a key their counts are read besides, from the ordinal on.
+
+Shards are ranges of the document id and a hash of the text, so that documents that share an id, or
+have none, may take any number of shards.
 
 Odd cases: a null text is an empty one, and any document ends with the end id; a null key is a
 key like any other and comes first; documents that share a key stay neighbours and are found
@@ -34,7 +39,9 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC = b"MFSHARD1"
-PART_KEYS = 4096
+PART_KEYS = 1 << 16
+#: Bytes of neighbouring documents that are read at once.
+READ = 8 << 20
 #: Room for a key in a level, in bits, and the salts of the two hashes.
 GAMMA = 1.7
 #: Segments that a task remembers the ids of, and that it leaves to the next one.
@@ -285,7 +292,8 @@ class PerfectHash:
         return cls(levels), at
 
 
-SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("ordinal", "<u8"), ("rows", "<u4")])
+SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("shards", "<u4"), ("ordinal", "<u8"), ("rows", "<u8"), ("at", "<u8"), ("tokens", "<u8")])
+PLACE = [c for c in SLOT.names if c != "fingerprint"]
 
 
 def fingerprints(keys: np.ndarray) -> np.ndarray:
@@ -299,8 +307,9 @@ def _key(column: str = "doc_id"):
 def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, shards: int | None = None) -> tuple[DataFrame, int]:
     """Write shard files and index of docs (doc_id, text) into the folder out.
 
-    Returns (shard, first_token) for each shard, and the number of index parts. shards: by
-    default as many as the scan has partitions, so that a shard holds what one task reads.
+    Returns for each shard (shard, first_token, first_doc, docs, tokens, width), and the number of
+    index parts. shards: by default as many as the scan has partitions, so that a shard holds what
+    one task reads.
     """
     spark = docs.sparkSession
     common.small_batches(spark, 6)
@@ -327,18 +336,22 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, shards: in
         encoder.forget()
         common.trim()
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lengths), shard, np.int32)), pa.array(np.concatenate(keys)), pa.array(np.arange(len(lengths))), pa.array(lengths, pa.int64())], ["shard", "key", "ordinal", "n"])
+            n = np.array(lengths, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(n), shard, np.int32), np.concatenate(keys), np.arange(len(n)), np.cumsum(n) - n, n)], ["shard", "key", "ordinal", "at", "n"])
 
     rows = common.cut(
         docs.withColumn("key", _key()).withColumn("text", F.coalesce("text", F.lit("")))
-        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
+        .repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .drop("doc_id")
-        .mapInArrow(encoded, "shard int, key long, ordinal long, n long"), "token-rows")
+        .mapInArrow(encoded, "shard int, key long, ordinal long, at long, n long"), "token-rows")
     #: One row a shard, a bounded number: a shard is as large as a scan partition.
-    per_shard = sorted((r["shard"], r["n"]) for r in rows.groupBy("shard").agg(F.sum("n").alias("n")).collect())
-    first = np.cumsum([0] + [n for _, n in per_shard]).tolist()
-    manifest = spark.createDataFrame([(s, f) for (s, _), f in zip(per_shard, first)], "shard int, first_token long")
+    per_shard = sorted(tuple(r) for r in rows.groupBy("shard").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).collect())
+    first = [np.cumsum([0] + [x[k] for x in per_shard]).tolist() for k in (2, 1)]
+    width = encoder_of(tokenizer, end_id).type.itemsize
+    manifest = spark.createDataFrame(
+        [(s, t, d, docs, n, width) for (s, docs, n), t, d in zip(per_shard, *first)],
+        "shard int, first_token long, first_doc long, docs long, tokens long, width int")
     parts = max(1, -(-rows.count() // PART_KEYS))
 
     def indexed(pdf):
@@ -347,14 +360,16 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, shards: in
         slots = np.empty(len(keys), SLOT)
         at = h.slots(keys)
         slots["fingerprint"][at] = fingerprints(keys)
-        for c in ("shard", "ordinal", "rows"):
+        for c in PLACE:
             slots[c][at] = pdf[c]
         part = int(pdf["part"].iloc[0])
         Store(out).write(f"index-{part:08d}.mph", iter([h.dump(), slots.tobytes()]))
         return pd.DataFrame({"part": [part], "keys": [len(keys)]})
 
     built = (
-        rows.groupBy("key", "shard").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("rows"))
+        rows.groupBy("key").agg(
+            F.min(F.struct("shard", "ordinal", "at")).alias("first"), (F.max("shard") - F.min("shard") + 1).alias("shards"), F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+        .select("key", "first.*", "shards", "rows", "tokens")
         .withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
         .groupBy("part").applyInPandas(indexed, "part int, keys long")
     )
@@ -363,8 +378,8 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, shards: in
 
 
 def lookup(keys: DataFrame, out: str, parts: int) -> DataFrame:
-    """Through the index: doc_id, shard, ordinal, rows for each row of keys (doc_id) whose key the
-    index holds. Other keys give no row, but for one in 2**32."""
+    """Through the index: doc_id and the slot's shard, shards, ordinal, rows, at, tokens for each
+    row of keys (doc_id) whose key the index holds. Other keys give no row, but for one in 2**32."""
 
     def found(pdf):
         raw = Store(out).read(f"index-{int(pdf['part'].iloc[0]):08d}.mph")
@@ -375,35 +390,67 @@ def lookup(keys: DataFrame, out: str, parts: int) -> DataFrame:
         ok = slot >= 0
         ok[ok] = slots["fingerprint"][slot[ok]] == fingerprints(keys[ok])
         got = slots[slot[ok]]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[ok], "shard": got["shard"].astype(np.int32), "ordinal": got["ordinal"].astype(np.int64), "rows": got["rows"].astype(np.int64)})
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[ok]} | {c: got[c].astype(np.int64) for c in PLACE})
 
     places = (
         common.id_text(keys, "doc_id", _key().alias("key"))
         .withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
-        .groupBy("part").applyInPandas(found, "doc_id string, shard int, ordinal long, rows long")
+        .groupBy("part").applyInPandas(found, "doc_id string, " + ", ".join(f"{c} long" for c in PLACE))
     )
     return common.id_back(places, keys, "doc_id")
 
 
+def read_ids(store: Store, name: str, at: np.ndarray, n: np.ndarray, width: int) -> Iterator[bytes]:
+    """The ids of documents that begin at these offsets, ascending, with so many ids; neighbours
+    are read together, and nothing else is."""
+    k = 0
+    while k < len(at):
+        end = k + 1
+        while end < len(at) and at[end] == at[end - 1] + n[end - 1] and (at[end] + n[end] - at[k]) * width <= READ:
+            end += 1
+        raw = store.read(name, int(at[k]) * width, int(at[end - 1] + n[end - 1] - at[k]) * width)
+        for a, b in zip(((at[k:end] - at[k]) * width).tolist(), (n[k:end] * width).tolist()):
+            yield raw[a : a + b]
+        k = end
+
+
 def fetch(places: DataFrame, manifest: DataFrame, out: str) -> DataFrame:
     """Read documents back from the shard files: doc_id, start, n_tokens, ids_crc32 for each
     document at the places that lookup() gave."""
 
     def read(pdf):
-        store, name = Store(out), f"shard-{int(pdf['shard'].iloc[0]):06d}.ids"
-        n_docs, n_tokens, width = np.frombuffer(store.read(name, -32, 24), "<u8").tolist()
-        lengths = np.frombuffer(store.read(name, n_tokens * width, 4 * n_docs), "<u4").astype(np.int64)
-        begin = np.cumsum(lengths) - lengths
-        payload = np.memmap(f"{store.root}/{name}", f"<u{width}", "r", shape=(n_tokens,)) if not store.fs else np.frombuffer(store.read(name, 0, n_tokens * width), f"<u{width}")
-        n = pdf["rows"].to_numpy()
-        at = np.repeat(pdf["ordinal"].to_numpy(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        crc = [zlib.crc32(payload[begin[i] : begin[i] + lengths[i]].astype("<u4").tobytes()) for i in at]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy().repeat(n), "start": begin[at] + int(pdf["first_token"].iloc[0]), "n_tokens": lengths[at], "ids_crc32": crc})
-
-    found = (
-        common.id_text(places, "doc_id", "shard", "ordinal", "rows").join(F.broadcast(manifest), "shard")
-        .groupBy("shard").applyInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
+        store, one = Store(out), pdf.iloc[0]
+        name, width = f"shard-{int(one['here']):06d}.ids", int(one["width"])
+        pdf = pdf.sort_values("at", kind="stable")
+        ids, ats, lengths = [], [], []
+        for doc_id, at, tokens, ordinal, rows in zip(pdf["doc_id"], pdf["at"], pdf["n"], pdf["first"], pdf["rows"]):
+            if rows == 1 and tokens >= 0:
+                n = np.array([tokens])
+            else:
+                n = np.frombuffer(store.read(name, int(one["tokens"]) * width + 4 * int(ordinal), 4 * int(rows)), "<u4").astype(np.int64)
+            ids += [doc_id] * len(n)
+            ats.append(at + np.cumsum(n) - n)
+            lengths.append(n)
+        at, n = np.concatenate(ats), np.concatenate(lengths)
+        crc = [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in read_ids(store, name, at, n, width)]
+        return pd.DataFrame({"doc_id": ids, "start": at + int(one["first_token"]), "n_tokens": n, "ids_crc32": crc})
+
+    # What of a key's documents a shard holds: all, or of a run through several shards its part.
+    shards = F.broadcast(manifest.withColumnRenamed("shard", "here"))
+    begins = F.broadcast(manifest.select("shard", F.col("first_doc").alias("run_doc")))
+    placed = common.id_text(places, "doc_id", *PLACE).withColumnRenamed("tokens", "n")
+    columns = ["doc_id", "here", "first", "rows", "at", "n", "first_token", "tokens", "width"]
+    single = placed.where("shards = 1").withColumnRenamed("shard", "here").withColumnRenamed("ordinal", "first").join(shards, "here").select(*columns)
+    several = (
+        placed.where("shards > 1").join(begins, "shard")
+        .withColumn("here", F.expr("explode(sequence(shard, shard + shards - 1))")).join(shards, "here")
+        .withColumn("first", F.expr("if(here = shard, ordinal, 0L)"))
+        .withColumn("at", F.expr("if(here = shard, at, 0L)"))
+        .withColumn("rows", F.expr("least(docs - first, rows - (first_doc + first - run_doc - ordinal))"))
+        .withColumn("n", F.lit(-1).cast("long"))  # told by the documents' own counts
+        .select(*columns)
     )
+    found = single.unionByName(several).where("rows > 0").groupBy("here").applyInPandas(read, "doc_id string, start long, n_tokens long, ids_crc32 long")
     return common.id_back(found, places, "doc_id")
 
 

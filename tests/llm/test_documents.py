@@ -481,6 +481,39 @@ def test_token_files(table, documents, spark, tmp_path):
     assert [r.doc_id for r in token_output.lookup(unknown, out, parts).collect()] == [8]
 
 
+def test_lookup_reads_its_range_alone(documents, spark, tmp_path, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    # A third of the rows share an id, and a third have none: both run through several shards.
+    rows = [(None if i % 3 == 0 else 77 if i % 3 == 1 else 1000 + i, f"text number {i} " + "word " * (i % 9)) for i in range(300)]
+    out = f"file://{tmp_path}/ids"
+    manifest, parts = token_output.write(documents(rows), out, path, shards=7)
+    keys = documents(rows).select("doc_id").distinct()
+    places = token_output.lookup(keys, out, parts)
+    assert max(r.shards for r in places.collect()) > 1
+    ids = lambda t: plain.encode(t, add_special_tokens=False).ids + [2]
+    want = sorted(((i, len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for i, t in rows), key=str)
+    got = token_output.fetch(places, manifest, out).collect()
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in got), key=str) == want
+    start = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == start
+        start += r.n_tokens
+    twice = token_output.fetch(token_output.lookup(keys.unionAll(keys), out, parts), manifest, out)
+    assert twice.count() == 2 * len(rows)
+    # Bytes read for some documents: their own, two a token.
+    store, read = token_output.Store(out), []
+    monkeypatch.setattr(store, "read", lambda name, start=0, length=None, f=store.read: read.append(length) or f(name, start, length))
+    one = [r for r in places.collect() if r.shards == r.rows == 1][:2]
+    for r in one:
+        raw = list(token_output.read_ids(store, f"shard-{r.shard:06d}.ids", np.array([r["at"]]), np.array([r.tokens]), 2))
+        assert np.frombuffer(raw[0], "<u2").tolist() == ids(dict(rows)[r.doc_id])
+    assert read == [2 * r.tokens for r in one]
+
+
 def test_encoder_equals_library():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
