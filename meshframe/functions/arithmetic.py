@@ -16,10 +16,24 @@ def wrap(x: Column, bits: int, signed: bool = True) -> Column:
     return F.pmod(x + half, F.lit(size)) - half if signed else F.pmod(x, F.lit(size))
 
 
+def wrap64(x: Column, signed: bool = True) -> Column:
+    """A whole decimal x reduced to 64 bits as machine integers are."""
+    size, half = F.lit(str(1 << 64)).cast("decimal(38,0)"), F.lit(str(1 << 63)).cast("decimal(38,0)")
+    low = lambda y: F.pmod(y, size)
+    return low(low(x) + half) - half if signed else low(x)
+
+
 def wrap_int32(x: Column) -> Column:
     return wrap(x.cast("bigint"), 32).cast("int")
 
 
+def mixed(*numbers) -> Column:
+    """A number from 0 to 2**32 - 1 that whole numbers decide and that looks random: the first eight
+    digits of the MD5 of the numbers' decimals between colons, which any SQL engine can tell too."""
+    text = F.concat_ws(":", *(F.lit(n) if isinstance(n, int) else n for n in numbers))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def wrap_int8(x: Column) -> Column:
     return wrap(x.cast("bigint"), 8).cast("int")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arithmetic import two_decimals
+from .redistribute import positions
 
 # The lines' forms and the modes' names.
 RUN_TIME = r"(Serial Task|Parallel Task ([1-6])) Execution Time = ([0-9.]+)"
@@ -91,6 +92,12 @@ def number_in(label: Column | str) -> Column:
     return F.nullif(F.regexp_extract(label, "([0-9]+)", 1), F.lit("")).cast("long")
 
 
+def numeric_sort(df: DataFrame, label: str, name: str = "pos") -> DataFrame:
+    """Rows with their place when labels are sorted by their first number, those without one first,
+    and then by the label itself."""
+    return positions(df, [F.coalesce(number_in(label), F.lit(-1)), F.col(label)], name)
+
+
 def profiles(lines: DataFrame) -> DataFrame:
     """event, accumulated, actual, overlapped of each profiler line."""
     return lines.where(F.col("line").rlike(PROFILE)).select(
@@ -125,6 +132,16 @@ def result_cube(results: DataFrame, varyings: list[str], settings: list[str], va
     return results.groupBy(*varyings, *settings).agg(F.min(value).alias("best"), F.avg(value).alias("mean"), F.count("*").alias("samples"))
 
 
+def load_balance(profile: DataFrame, machine: str, subtasks: str) -> DataFrame:
+    """A report panel: the fewest and the most subtasks of a machine's devices, and their mean."""
+    return profile.groupBy(machine).agg(F.min(subtasks).alias("fewest"), F.max(subtasks).alias("most"), F.avg(subtasks).alias("mean"))
+
+
+def overlap_share(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """A report panel: the per cent of accumulated time that ran beside other work."""
+    return sums.select(*keys, F.try_divide(F.col("overlapped") * 100.0, F.col("accumulated")).alias("percent"))
+
+
 def panel(cube: DataFrame, by: list[str], value: str = "best") -> DataFrame:
     """A report panel: the cube summed up by some of its keys."""
     return cube.groupBy(*by).agg(F.min(value).alias("best"), F.max(value).alias("worst"), F.count("*").alias("settings"))

@@ -71,10 +71,22 @@ def device_ranking(counts: DataFrame, n: str, device: str) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.col(n).desc(), device)))
 
 
-def steal_victim(stubs: DataFrame, queued: str, running: str, stub: str) -> DataFrame:
-    """The stub with most queued subtasks; where none has any, the one with most in its pipeline."""
-    best = lambda c: F.max_by(stub, F.struct(F.col(c), -F.col(stub)))
-    return stubs.agg(F.when(F.max(queued) > 0, best(queued)).when(F.max(running) > 0, best(running)).alias("victim"))
+def steal_victim(stubs: DataFrame, queued: str, running: str, stub: str, ignore: int | None = None, multi: str | None = None, kind: str | None = None, seed: int = 0) -> DataFrame:
+    """The stub with most queued subtasks; where none has any, the one with most in its pipeline;
+    where multi names a flag, else one drawn by the seed from those that carry it, of another kind
+    than the asking stub's if there are such. The asking stub, ignore, is never its own victim."""
+    asks = F.lit(True) if ignore is None else F.col(stub) != ignore
+    most = lambda c: F.max_by(stub, F.when(asks & (F.col(c) > 0), F.struct(F.col(c), -F.col(stub))))
+    choices = [most(queued), most(running)]
+    rows = stubs
+    if multi:
+        if ignore is not None and kind:
+            rows = rows.join(F.broadcast(stubs.where(F.col(stub) == ignore).select(F.col(kind).alias("own_kind_")).limit(1)), how="left")
+        drawn = lambda ok: F.min_by(stub, F.when(asks & F.col(multi) & ok, F.xxhash64(F.lit(seed), stub)))
+        if "own_kind_" in rows.columns:
+            choices.append(drawn(F.col(kind) != F.col("own_kind_")))
+        choices.append(drawn(F.lit(True)))
+    return rows.agg(F.coalesce(*choices).alias("victim"))
 
 
 def affinity_pick(costs: DataFrame, machine: str, subtask: str, cost: str, k: int) -> DataFrame:
@@ -83,8 +95,16 @@ def affinity_pick(costs: DataFrame, machine: str, subtask: str, cost: str, k: in
     return costs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def better(a1: Column, a2: Column, b1: Column, b2: Column, slack: float = 0.1) -> Column:
-    """Whether a beats b by two costs: in both, or in one while within the slack on the other.
+def affinity_difference(costs: DataFrame, machine: str, subtask: str, cost: str, one: int, other: int, k: int) -> DataFrame:
+    """The k subtasks that one machine is better for than the other by most: (subtask, gain)."""
+    at = lambda m: F.max(F.when(F.col(machine) == m, F.col(cost)))
+    both = costs.where(F.col(machine).isin(one, other)).groupBy(subtask).agg((at(other) - at(one)).alias("gain"))
+    return both.where("gain is not null").orderBy(F.col("gain").desc(), subtask).limit(k)
+
+
+def better(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
+    """Whether a beats b by two costs, neither below zero: less in both, or less in one with the
+    other alike and above zero. Where each is less in one cost, neither beats the other: the rule
+    "within a tenth on the other" then holds both ways round and is taken back.
     Not a total order: filter by it, never sort."""
-    near = lambda x, y: x <= y * (1 + slack)
-    return ((a1 <= b1) & (a2 < b2)) | ((a1 < b1) & (a2 <= b2)) | ((a1 < b1) & near(a2, b2)) | ((a2 < b2) & near(a1, b1))
+    return ((a1 < b1) & (a2 < b2)) | ((a1 < b1) & (a2 == b2) & (b2 > 0)) | ((a1 == b1) & (a2 < b2) & (b1 > 0))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arithmetic import INTEGRAL, TYPES, truth, wrap
+from ..functions.arithmetic import INTEGRAL, TYPES, truth, wrap, wrap64
 
 
 def _wrapped(x: Column, kind: str) -> Column:
@@ -21,7 +21,9 @@ def _wrapped(x: Column, kind: str) -> Column:
 def _sum(v: Column, kind: str) -> Column:
     if kind in ("int", "unsigned int"):
         return _wrapped(F.sum(v.cast("bigint")), kind)
-    return F.sum(v.cast("decimal(38,0)") if kind in INTEGRAL else v.cast("double")).cast(TYPES[kind])
+    if kind in INTEGRAL:
+        return wrap64(F.sum(v.cast("decimal(38,0)")), kind == "long").cast(TYPES[kind])
+    return F.sum(v.cast("double")).cast(TYPES[kind])
 
 
 _ANY_TYPE: dict[str, Callable[[Column, str], Column]] = {
@@ -44,8 +46,8 @@ OPERATIONS = (*_ANY_TYPE, *_INTEGRAL_ONLY)
 def reduction(op: str, kind: str = "long") -> Callable[[str | Column], Column]:
     """The aggregate of a built-in operation for an element type; the result has that type.
 
-    Integer sums wrap at 32 bits where the type does. Products are exact up to 2**53; exact_product
-    has all others. Bitwise operations have no meaning on floating point and are refused.
+    Integer sums wrap as the type does. Products are exact up to 2**53; exact_product, which
+    reduce() calls for integers, has all others. Bitwise operations have no meaning on floating point and are refused.
     """
     if kind not in TYPES:
         raise ValueError(f"no such element type: {kind}")
@@ -58,6 +60,8 @@ def reduction(op: str, kind: str = "long") -> Callable[[str | Column], Column]:
 
 
 def reduce(df: DataFrame, keys: list[str], value: str, op: str, kind: str = "long", name: str = "v") -> DataFrame:
+    if op == "product" and kind in INTEGRAL:
+        return exact_product(df.withColumn("row_", F.monotonically_increasing_id()), keys, value, "row_", kind, name)
     return df.groupBy(*keys).agg(reduction(op, kind)(value).alias(name))
 
 
@@ -76,9 +80,15 @@ def fold(df: DataFrame, keys: list[str], value: str, merge: Callable[[Column, Co
     return level.groupBy(*keys).agg(F.collect_list(name).alias("all_")).select(*keys, F.aggregate("all_", zero, merge).alias(name))
 
 
-def exact_product(df: DataFrame, keys: list[str], value: str, order: str, name: str = "v") -> DataFrame:
-    """Product of int values in 32 bits, exact as machine integers wrap."""
-    return fold(df, keys, value, lambda a, x: wrap(a * x.cast("bigint"), 32), F.lit(1).cast("bigint"), order, name=name).withColumn(name, F.col(name).cast("int"))
+def exact_product(df: DataFrame, keys: list[str], value: str, order: str, kind: str = "int", name: str = "v") -> DataFrame:
+    """Product of whole numbers, exact as machine integers of their type wrap. Two factors of 64
+    bits with a sign have a product that a decimal holds."""
+    if kind in ("int", "unsigned int"):
+        done = fold(df, keys, value, lambda a, x: wrap(a * wrap(x.cast("bigint"), 32), 32), F.lit(1).cast("bigint"), order, name=name)
+        return done.withColumn(name, wrap(F.col(name), 32, kind == "int").cast(TYPES[kind]))
+    whole = "decimal(20,0)"
+    done = fold(df, keys, value, lambda a, x: wrap64(a * wrap64(x.cast("decimal(38,0)")).cast(whole)).cast(whole), F.lit(1).cast(whole), order, name=name)
+    return done.withColumn(name, wrap64(F.col(name).cast("decimal(38,0)"), kind == "long").cast(TYPES[kind]))
 
 
 def custom(df: DataFrame, keys: list[str], value: str, function, kind: str = "double", name: str = "v") -> DataFrame:
@@ -97,9 +107,13 @@ def sparse_add(df: DataFrame, index: str, value: str, name: str = "v") -> DataFr
     return df.where(F.col(value) != 0).groupBy(index).agg(F.sum(value).alias(name))
 
 
-def carried(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """State kept from one reduction to the next: how many were reduced, and the last buffer."""
-    return df.groupBy(*keys).agg(F.count(value).alias("reductions"), F.sum(value).alias("buffer"))
+def carried(df: DataFrame, keys: list[str], value: str, state: DataFrame | None = None) -> DataFrame:
+    """State kept from one reduction to the next: how many were reduced, and the last buffer.
+    state: what the reduction before left, which this one goes on from."""
+    new = df.groupBy(*keys).agg(F.count(value).alias("reductions"), F.sum(value).alias("buffer"))
+    if state is None:
+        return new
+    return state.unionByName(new).groupBy(*keys).agg(F.sum("reductions").alias("reductions"), F.sum("buffer").alias("buffer"))
 
 
 def histogram(df: DataFrame, chunk: Column, digit: Column) -> DataFrame:

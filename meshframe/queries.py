@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.arithmetic import wrap_int8
 from .operators import elementwise, graph, logs, matrix, reduce, redistribute, scan, signal, stencil
-from .sources import arrays, webgraph
+from .plans import durable, tasks
+from .sources import arrays, files, images, webgraph
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -115,7 +118,41 @@ def reduce_sparse(spark, d):
 
 @query(f"WITH {EV} SELECT t, count(v) AS reductions, CAST(sum(v) AS BIGINT) AS buffer FROM ev GROUP BY t")
 def reduce_carried(spark, d):
-    return reduce.carried(_events(spark, d), ["t"], "v")
+    """Three reductions, each from the state that the one before left."""
+    rows, state = _events(spark, d), None
+    for k in range(3):
+        state = reduce.carried(rows.where(F.col("i") % 3 == k), ["t"], "v", state)
+    return state
+
+
+#: SQL of each built-in reduction of x, and the types that it gives.
+_WHOLE = {"int": ("x", "INTEGER", "int"), "unsigned int": ("x + 5000", "BIGINT", "bigint"), "long": ("x * 1000003", "BIGINT", "bigint"), "unsigned long": ("x + 5000", "BIGINT", "bigint")}
+_REAL = {"float": ("x / 4.0", "FLOAT", "float"), "double": ("x / 4.0", "DOUBLE", "double")}
+
+
+def _reductions(kind: str, x: str, type_: str) -> str:
+    to = lambda e: f"CAST({e} AS {type_})"
+    found = {"add": "sum(x)", "min": "min(x)", "max": "max(x)", "logical_and": "min(CASE WHEN x <> 0 THEN 1 ELSE 0 END)", "logical_or": "max(CASE WHEN x <> 0 THEN 1 ELSE 0 END)", "logical_xor": "sum(CASE WHEN x <> 0 THEN 1 ELSE 0 END) % 2"}
+    found |= {"bitwise_and": "bit_and(CAST(x AS BIGINT))", "bitwise_or": "bit_or(CAST(x AS BIGINT))", "bitwise_xor": "bit_xor(CAST(x AS BIGINT))"} if kind in _WHOLE else {}
+    small = "product(i % 5 + 1)" if kind in _WHOLE else "product(i % 5 + 0.5)"
+    own = ", ".join([f"{to(e)} AS {op}" for op, e in found.items()] + [f"{to(small)} AS product"])
+    return f"WITH {EV}, y AS (SELECT i // 8 AS g, i, CAST({x.replace('x', '(v % 64 - 20)')} AS {'BIGINT' if kind in _WHOLE else 'DOUBLE'}) AS x FROM ev) SELECT g, {own} FROM y GROUP BY g"
+
+
+def _reduced(kind: str, x: str, type_: str):
+    def run(spark, d):
+        rows = _events(spark, d).select(F.expr("i div 8").alias("g"), "i", (F.col("v") % 64 - 20).alias("x")).select("g", "i", F.expr(f"cast({x} as {type_ if kind in _REAL else 'bigint'})").alias("x"))
+        ops = [op for op in reduce.OPERATIONS if op != "product" and (kind in _WHOLE or not op.startswith("bitwise"))]
+        out = rows.groupBy("g").agg(*(reduce.reduction(op, kind)("x").cast(type_).alias(op) for op in ops))
+        small = rows.withColumn("x", F.expr("i % 5 + 1" if kind in _WHOLE else "i % 5 + 0.5D"))
+        return out.join(reduce.reduce(small, ["g"], "x", "product", kind, "product").withColumn("product", F.col("product").cast(type_)), "g")
+
+    return run
+
+
+for _kind, (_x, _sql, _spark) in (_WHOLE | _REAL).items():
+    _name = "reductions_" + _kind.replace(" ", "_")
+    QUERIES[_name], SQL[_name] = _reduced(_kind, _x, _spark), _reductions(_kind, _x, _sql)
 
 
 @query(f"WITH {EV} SELECT i // 1000 AS chunk, v & 15 AS digit, count(*) AS n FROM ev GROUP BY 1, 2")
@@ -271,11 +308,29 @@ def affinity_pick(spark, d):
     return redistribute.affinity_pick(_events(spark, d).select("u", "i", "v"), "u", "i", "v", 3)
 
 
-@query(f"WITH {EV} SELECT i FROM ev WHERE (v <= 9000 AND u < 75) OR (v < 9000 AND u <= 75) OR (v < 9000 AND u <= 82) OR (u < 75 AND v <= 9900)")
+# Both costs less, and not both more, or less on one with the other within a tenth and not so the other way round.
+_WINS = """(v < 9000 AND u < 75) OR (NOT (9000 < v AND 75 < u) AND (
+(v < 9000 AND 75 - u < 0.1 * 75 AND NOT (75 < u AND v - 9000 < 0.1 * v)) OR (u < 75 AND 9000 - v < 0.1 * 9000 AND NOT (9000 < v AND u - 75 < 0.1 * u))))"""
+
+
+@query(f"WITH {EV} SELECT i FROM ev WHERE {_WINS}")
 def two_criteria(spark, d):
     return _events(spark, d).where(redistribute.better(F.col("v"), F.col("u"), F.lit(9000), F.lit(75))).select("i")
 
 
+@query(f"WITH {EV}, n AS (SELECT u, count(*) AS n FROM ev GROUP BY u), m AS (SELECT max(u) AS own FROM ev) SELECT (SELECT u FROM n, m WHERE u <> own ORDER BY n DESC, u LIMIT 1) AS victim")
+def steal_victim_of_stub(spark, d):
+    stubs = _events(spark, d).groupBy("u").agg(F.lit(0).alias("queued"), F.count("*").alias("running"), F.lit(True).alias("multi"), (F.col("u") % 2).alias("kind"))
+    own = stubs.agg(F.max("u")).first()[0]
+    return redistribute.steal_victim(stubs, "queued", "running", "u", ignore=own, multi="multi", kind="kind")
+
+
+@query(f"WITH {EV}, b AS (SELECT i // 50 AS s, max(CASE WHEN u % 2 = 0 THEN v END) AS zero, max(CASE WHEN u % 2 = 1 THEN v END) AS one FROM ev GROUP BY 1) SELECT s, one - zero AS gain FROM b WHERE one - zero IS NOT NULL ORDER BY gain DESC, s LIMIT 10")
+def affinity_difference(spark, d):
+    costs = _events(spark, d).select((F.col("u") % 2).alias("m"), F.expr("i div 50").alias("s"), "v")
+    return redistribute.affinity_difference(costs, "m", "s", "v", 0, 1, 10)
+
+
 @query(f"WITH {EDGES} SELECT src, count(*) AS degree FROM edges GROUP BY src")
 def out_degree(spark, d):
     return graph.out_degree(_edges(spark, d))
@@ -357,9 +412,17 @@ def lu_rebuild(spark, d):
     return matrix.rebuild(packed, 64).select("r", "c", F.round("v").cast("long").alias("v")).where("v <> 0")
 
 
-@query()
+_LU = f"""WITH RECURSIVE {GRAM}, m AS (SELECT r, c, CAST(v + CASE WHEN r = c THEN 10000000 ELSE 0 END AS DOUBLE) AS v FROM gram),
+lu AS (SELECT 0 AS k, list(v ORDER BY r, c) AS a FROM m UNION ALL
+SELECT k + 1, list_transform(a, lambda x, j: CASE WHEN (j - 1) % 64 <= k OR (j - 1) // 64 < k THEN x WHEN (j - 1) // 64 = k THEN x / a[k * 65 + 1] ELSE x - a[(j - 1) // 64 * 64 + k + 1] * (a[k * 64 + (j - 1) % 64 + 1] / a[k * 65 + 1]) END) FROM lu WHERE k < 64),
+f AS (SELECT unnest(a) AS v, unnest(range(0, 4096)) AS j FROM lu WHERE k = 64)
+SELECT CAST(j // 64 AS BIGINT) AS r, CAST(j % 64 AS BIGINT) AS c, CASE WHEN j // 64 >= j % 64 THEN round(v, 2) ELSE round(v, 8) END + 0.0 AS v FROM f"""
+
+
+@query(_LU)
 def lu_factors(spark, d):
-    return matrix.lu(_dominant(spark, d), 64, 24)
+    packed = matrix.lu(_dominant(spark, d), 64, 24)
+    return packed.select("r", "c", (F.when(F.col("r") >= F.col("c"), F.round("v", 2)).otherwise(F.round("v", 8)) + 0.0).alias("v"))
 
 
 _WEIGHTS = ((1, 2, 1), (0, -1, 3), (2, 1, -2))
@@ -419,14 +482,19 @@ def fft_columns(spark, d):
     return _rounded(signal.fft_columns(_grid(spark, d)), 0)
 
 
-@query()
+_DFT_2D = f"""WITH {CELLS}, n AS (SELECT count(*) AS n FROM embeddings), f AS {_DFT_ROWS}, g AS (SELECT k.r, f.c,
+sum(f.re * cos(2 * pi() * (f.r * k.r % n.n) / n.n) + f.im * sin(2 * pi() * (f.r * k.r % n.n) / n.n)) AS re, sum(f.im * cos(2 * pi() * (f.r * k.r % n.n) / n.n) - f.re * sin(2 * pi() * (f.r * k.r % n.n) / n.n)) AS im
+FROM f, n, (SELECT vec_id AS r FROM embeddings) k GROUP BY 1, 2) SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, round(re) + 0.0 AS re, round(im) + 0.0 AS im FROM g"""
+
+
+@query(_DFT_2D)
 def fft_2d(spark, d):
-    return signal.fft_2d(_grid(spark, d))
+    return _rounded(signal.fft_2d(_grid(spark, d)), 0)
 
 
-@query()
+@query(_DFT_2D)
 def fft_2d_transposed(spark, d):
-    return signal.fft_2d_transposed(_grid(spark, d))
+    return _rounded(signal.fft_2d_transposed(_grid(spark, d)), 0)
 
 
 def _run_lines(spark, d):
@@ -518,6 +586,11 @@ def label_numbers(spark, d):
     return _table(spark, d, "customer").select("c_custkey", logs.number_in("c_name").alias("number"))
 
 
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_name) - 1 AS pos FROM customer")
+def label_order(spark, d):
+    return logs.numeric_sort(_table(spark, d, "customer").select("c_custkey", "c_name"), "c_name").select("c_custkey", "pos")
+
+
 @query(f"WITH {EV} SELECT i, upper(t) AS event, CAST(v AS DOUBLE) AS accumulated, CAST(u AS DOUBLE) AS actual, CAST(v % 7 AS DOUBLE) AS overlapped FROM ev")
 def parse_profiles(spark, d):
     line = F.format_string("%s => Accumulated Time: %ds; Actual Time = %ds; Overlapped Time = %ds", F.upper("t"), "v", "u", F.col("v") % 7)
@@ -564,12 +637,95 @@ def place_rows(spark, d):
     return arrays.place(_events(spark, d), "u")
 
 
-@query()
+def _random(*numbers: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(numbers)})), 1, 8) AS BIGINT)"
+
+
+@query(f"""WITH c AS (SELECT CAST(count(*) AS BIGINT) AS n FROM customer), p AS (SELECT unnest(range(1, n + 1)) AS page FROM c),
+k AS (SELECT page, unnest(range(1, CAST(floor({_random('1', 'page', '0')} / 4294967296.0::DOUBLE * 21) AS BIGINT) + 1)) AS k FROM p),
+u AS (SELECT page, {_random('1', 'page', '1', 'k')} / 4294967296.0::DOUBLE AS kind, {_random('1', 'page', '2', 'k')} / 4294967296.0::DOUBLE AS pick FROM k),
+h AS (SELECT page, n, CAST(page - 1 + floor((pick * 2 - 1) * CASE WHEN kind < 0.9 THEN greatest(1, n // 1000) WHEN kind < 0.99 THEN greatest(1, n // 100) ELSE n END) AS BIGINT) AS hit FROM u, c)
+SELECT page AS src, (hit % n + n) % n + 1 AS dst FROM h""")
 def web_graph(spark, d):
     pages = _table(spark, d, "customer").count()
     return webgraph.edges(webgraph.generate(spark, pages, seed=1))
 
 
-@query()
+@query(f"WITH i AS (SELECT unnest(range(0, count(*))) AS i FROM part) SELECT i, {_random('1', 'i')} >> 1 AS v FROM i")
 def random_array(spark, d):
     return arrays.random_ints(spark, _table(spark, d, "part").count(), seed=1)
+
+
+@query(f"WITH i AS (SELECT unnest(range(0, count(*))) AS i FROM supplier) SELECT i // 7 AS r, i % 7 AS c, {_random('3', 'i // 7', 'i % 7')} >> 1 AS v FROM i WHERE i < (SELECT count(*) // 7 * 7 FROM supplier)")
+def random_plane(spark, d):
+    return arrays.random_plane(spark, _table(spark, d, "supplier").count() // 7, 7, seed=3)
+
+
+@query("WITH i AS (SELECT unnest(range(0, count(*))) AS i FROM part) SELECT i, i * 3 AS v FROM i")
+def create_linear(spark, d):
+    """A space made, read whole and released."""
+    space = arrays.linear(spark, _table(spark, d, "part").count(), F.col("i") * 3).cache()
+    rows = arrays.fetch(space, 1 << 22)
+    arrays.release(space)
+    return spark.createDataFrame(rows, space.schema)
+
+
+@query("WITH i AS (SELECT unnest(range(0, count(*) * 4)) AS i FROM nation) SELECT i // 4 AS r, i % 4 AS c, i // 4 * 10 + i % 4 AS v FROM i")
+def create_plane(spark, d):
+    return arrays.plane(spark, _table(spark, d, "nation").count(), 4, F.col("r") * 10 + F.col("c"))
+
+
+@query("SELECT n_nationkey AS number, n_name AS content, CAST(octet_length(encode(n_name)) AS BIGINT) AS length FROM nation")
+def map_files(spark, d):
+    """A file for each nation, written and mapped together."""
+    at = f"{durable.scratch_dir(spark)}/nations-{uuid.uuid4().hex}"
+    files.write_files(_table(spark, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("name"), F.encode("n_name", "UTF-8").alias("content")), at)
+    return files.map_files(spark, at, "*.txt").select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("int").alias("number"), F.decode("content", "UTF-8").alias("content"), "length")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS number, s_name AS line FROM supplier")
+def map_file(spark, d):
+    """One file of all suppliers' lines, mapped and split."""
+    at = f"{durable.scratch_dir(spark)}/suppliers-{uuid.uuid4().hex}"
+    lines = _table(spark, d, "supplier").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda s: F.concat_ws("|", s["s_suppkey"], s["s_name"])), "\n").alias("all"))
+    files.write_files(lines.select(F.lit("suppliers.txt").alias("name"), F.encode("all", "UTF-8").alias("content")), at)
+    parts = F.split("line", r"\|")
+    return files.read_lines(spark, f"{at}/suppliers.txt").select(parts[0].cast("bigint").alias("number"), parts[1].alias("line"))
+
+
+@query(f"WITH {EDGES}, s AS (SELECT max(src) + 1 AS pages FROM edges) SELECT DISTINCT src + 1 AS src, CAST(dst % pages + 1 AS BIGINT) AS dst FROM edges, s")
+def web_dump(spark, d):
+    """The links as a dump: a header and files of fixed records, written and read back."""
+    edges = _edges(spark, d)
+    pages = edges.agg(F.max("src")).first()[0] + 1
+    links = edges.select((F.col("src") + 1).alias("src"), (F.col("dst") % pages + 1).alias("dst")).distinct().groupBy(F.col("src").alias("page")).agg(F.array_sort(F.collect_list("dst")).alias("outlinks"))
+    at = f"{durable.scratch_dir(spark)}/web-{uuid.uuid4().hex}"
+    webgraph.write_dump(links, at, pages, 100)
+    found = webgraph.read_metadata(spark, f"{at}/metadata")
+    return webgraph.edges(webgraph.read_pages(spark, f"{at}/pages", found)).select("src", "dst")
+
+
+@query(f"WITH {CELLS} SELECT CAST(r AS BIGINT) AS y, CAST(c // 3 AS BIGINT) AS x, CAST(c % 3 AS INTEGER) AS channel, CAST(((v + 128) % 256 + 256) % 256 - 128 AS INTEGER) AS v FROM cells WHERE c < 63")
+def bitmap(spark, d):
+    """Vectors as the pixels of bitmaps of 64 rows, written and read back."""
+    pixels = _cells(spark, d).where("c < 63").select(F.col("r").alias("y"), F.expr("c div 3").alias("x"), (F.col("c") % 3).alias("k"), wrap_int8(F.col("v")).alias("v"))
+    at = f"{durable.scratch_dir(spark)}/images-{uuid.uuid4().hex}"
+    images.write_bmp(pixels.groupBy("y", "x").agg(*(F.max(F.when(F.col("k") == i, F.col("v"))).alias(n) for i, n in enumerate("rgb"))), at, 64)
+    found = images.read_bmp(spark, at).withColumn("y", F.col("y") + 64 * F.regexp_extract("path", r"([0-9]+)\.bmp$", 1).cast("bigint"))
+    return found.select("y", "x", F.posexplode(F.array("r", "g", "b")).alias("channel", "v")).select("y", "x", "channel", F.col("v").cast("int").alias("v"))
+
+
+@query(f"WITH {EV} SELECT t, CAST(sum(2 * v) AS BIGINT) AS v, CAST(row_number() OVER (ORDER BY t) - 1 AS BIGINT) AS pos FROM ev WHERE u < 900 GROUP BY t")
+def submit_task(spark, d):
+    """A task with every callback: its rows chosen, mapped, reduced and redistributed; registered,
+    submitted, waited for, timed and released."""
+    done = []
+    key = tasks.register(f"double-{uuid.uuid4().hex}", tasks.Callbacks(
+        data_distribution=lambda df: df.where("u < 900"), subtask=lambda df: df.select("t", (F.col("v") * 2).alias("v")),
+        data_reduction=lambda df: reduce.reduce(df, ["t"], "v", "add"), data_redistribution=lambda df: redistribute.positions(df, ["t"]),
+        completion=lambda df, user: done.append((user, df.count()))))
+    task = tasks.submit(key, _events(spark, d), user_data="done", timeout=3600)
+    out = task.result()
+    tasks.release(key)
+    assert done and done[0][0] == "done" and task.seconds > 0 and tasks.hosts(spark) >= 1
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arithmetic import mixed
+
 
 def linear(spark: SparkSession, length: int, v=None) -> DataFrame:
     """(i, v) of a new linear space; v: an expression over i, 0 by default."""
@@ -19,16 +21,16 @@ def plane(spark: SparkSession, rows: int, columns: int, v=None) -> DataFrame:
 
 def random_ints(spark: SparkSession, length: int, seed: int = 0) -> DataFrame:
     """(i, v) with values from 0 to 2**31 - 1 that the seed alone decides."""
-    return linear(spark, length, F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 31)))
+    return linear(spark, length, F.shiftright(mixed(seed, F.col("i")), 1))
 
 
 def random_plane(spark: SparkSession, rows: int, columns: int, seed: int = 0) -> DataFrame:
-    return plane(spark, rows, columns, F.pmod(F.xxhash64("r", "c", F.lit(seed)), F.lit(1 << 31)))
+    return plane(spark, rows, columns, F.shiftright(mixed(seed, F.col("r"), F.col("c")), 1))
 
 
 def dominant_plane(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """A positive square matrix whose diagonal exceeds its rows' sums, fit for LU without pivots."""
-    off = (1 + F.pmod(F.xxhash64("r", "c", F.lit(seed)), F.lit(99))).cast("double")
+    off = (1 + mixed(seed, F.col("r"), F.col("c")) % 99).cast("double")
     return plane(spark, n, n, F.when(F.col("r") == F.col("c"), off + 100.0 * n).otherwise(off))
 
 

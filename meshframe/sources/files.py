@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def map_files(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """(path, length, content) of one file or many; content is read only where a plan asks for it."""
@@ -14,6 +18,33 @@ def map_files(spark: SparkSession, paths: str | list[str], pattern: str | None =
     return reader.load(paths).select("path", "length", "content")
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file for each row (name, content) in a folder that all executors share; each appears whole."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                put(f"{folder}/{name}", bytes(content))
+            yield pdf[["name"]]
+
+    rows.select("name", "content").mapInPandas(run, "name string").count()
+
+
+def put(uri: str, raw: bytes) -> None:
+    """Write one file under another name and rename it, so that a task that is tried again does no
+    harm."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    folder, name = path.rsplit("/", 1)
+    system.create_dir(folder, recursive=True)
+    temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(temporary) as out:
+        out.write(raw)
+    system.move(temporary, path)
+
+
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(log, number, line) of text logs, numbered from 0 in each file. A log is a file that one
     task reads."""

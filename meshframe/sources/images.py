@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .files import put
 
 
 def decode_bmp(raw: bytes) -> np.ndarray:
@@ -45,6 +46,23 @@ def read_bmp(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(decode, "path string, y long, x long, r tinyint, g tinyint, b tinyint")
 
 
+def write_bmp(pixels: DataFrame, folder: str, height: int) -> None:
+    """Write (y, x, r, g, b) as files number.bmp of so many rows each; file k has rows from
+    k * height on."""
+
+    def run(pdf):
+        number = int(pdf["file"].iloc[0])
+        y, x = pdf["y"].to_numpy() - number * height, pdf["x"].to_numpy()
+        out = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3), np.uint8)
+        for k, c in enumerate("bgr"):
+            out[y, x, k] = pdf[c].to_numpy().astype(np.int8).view(np.uint8)
+        put(f"{folder}/{number}.bmp", encode_bmp(out))
+        return pd.DataFrame({"file": [number]})
+
+    ship(pixels.sparkSession)
+    pixels.withColumn("file", F.expr(f"y div {height}")).groupBy("file").applyInPandas(run, "file long").count()
+
+
 def random_image(spark: SparkSession, height: int, width: int, seed: int = 0) -> DataFrame:
     cells = spark.range(height * width).select(F.floor(F.col("id") / width).alias("y"), (F.col("id") % width).alias("x"))
     byte = lambda k: (F.pmod(F.xxhash64("y", "x", F.lit(seed), F.lit(k)), F.lit(256)) - 128).cast("tinyint")

@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arithmetic import mixed
 from ..session import ship
+from .files import put
 
 PAGE = "page long, outlinks array<long>"
 
@@ -46,6 +48,26 @@ def encode_pages(outlinks: list[list[int]], max_outlinks: int) -> bytes:
     return out.tobytes()
 
 
+def write_dump(pages: DataFrame, folder: str, last: int, per_file: int) -> None:
+    """Write (page, outlinks) as a header, folder/metadata, and files of per_file records in
+    folder/pages; pages without a row have no links. The widest page sets the records' width."""
+    most = pages.agg(F.max(F.size("outlinks"))).first()[0] or 0
+    put(f"{folder}/metadata", np.array([last, most, per_file], "<u4").tobytes())
+
+    def run(pdf):
+        number = int(pdf["file"].iloc[0])
+        rows = [[] for _ in range(min(per_file, last - number * per_file))]
+        for page, links in zip(pdf["page"], pdf["outlinks"]):
+            if links is not None:
+                rows[int(page) - 1 - number * per_file] = list(links)
+        put(f"{folder}/pages/{number}.bin", encode_pages(rows, most))
+        return pd.DataFrame({"file": [number]})
+
+    ship(pages.sparkSession)
+    every = pages.sparkSession.range(1, last + 1).select(F.col("id").alias("page")).join(pages, "page", "left")
+    every.withColumn("file", F.expr(f"(page - 1) div {per_file}")).groupBy("file").applyInPandas(run, "file long").count()
+
+
 def edges(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page").alias("src"), F.explode("outlinks").alias("dst"))
 
@@ -53,11 +75,11 @@ def edges(pages: DataFrame) -> DataFrame:
 def generate(spark: SparkSession, pages: int, max_outlinks: int = 20, seed: int = 0) -> DataFrame:
     """(page, outlinks): 0 to max_outlinks links, 90 % of them within 0.1 % of all pages around
     their page, 9 % within 1 %, and the rest anywhere. The seed decides all."""
-    u = lambda *salt: F.pmod(F.xxhash64(F.lit(seed), "page", *salt), F.lit(1 << 40)) / float(1 << 40)
-    rows = spark.range(1, pages + 1).select(F.col("id").alias("page")).withColumn("n", F.floor(u(F.lit(0)) * (max_outlinks + 1)).cast("int"))
+    u = lambda *salt: mixed(seed, F.col("page"), *salt) / 4294967296.0
+    rows = spark.range(1, pages + 1).select(F.col("id").alias("page")).withColumn("n", F.floor(u(0) * (max_outlinks + 1)).cast("int"))
 
     def link(k):
-        kind, at = u(F.lit(1), k), u(F.lit(2), k)
+        kind, at = u(1, k), u(2, k)
         reach = F.when(kind < 0.9, max(1, pages // 1000)).when(kind < 0.99, max(1, pages // 100)).otherwise(pages)
         return (F.pmod(F.col("page") - 1 + F.floor((at * 2 - 1) * reach), F.lit(pages)) + 1).cast("long")
 

@@ -94,7 +94,36 @@ def test_victims_and_preferences(spark):
     none = idle.withColumn("running", F.lit(0))
     assert redistribute.steal_victim(none, "queued", "running", "stub").first()[0] is None
     better = lambda *x: spark.range(1).select(redistribute.better(*map(F.lit, x))).first()[0]
-    assert better(1.0, 1.0, 2.0, 2.0) and better(1.0, 2.1, 2.0, 2.0) and not better(1.0, 2.3, 2.0, 2.0) and not better(1.0, 1.0, 1.0, 1.0)
+    for a1, a2, b1, b2, wins in (
+        (1, 1, 2, 2, True), (2, 2, 1, 1, False), (1, 1, 1, 1, False), (1, 2, 1, 3, True), (1, 3, 1, 2, False), (1, 2, 3, 2, True), (0, 1, 0, 2, False), (1, 0, 2, 0, False),
+        (10.0, 100.0, 10.5, 95.0, False), (10.5, 95.0, 10.0, 100.0, False), (1.0, 2.1, 2.0, 2.0, False), (2.0, 2.0, 1.0, 2.1, False)):
+        assert better(a1, a2, b1, b2) == wins, (a1, a2, b1, b2)
+    stubs = spark.createDataFrame([(1, 5, 1, True, 0), (2, 5, 9, True, 1), (3, 0, 2, False, 1), (4, 0, 0, True, 1)], "stub int, queued int, running int, multi boolean, kind int")
+    pick = lambda **x: redistribute.steal_victim(stubs.withColumns(x.pop("change", {})), "queued", "running", "stub", **x).first()[0]
+    assert (pick(), pick(ignore=1), pick(ignore=2)) == (1, 2, 1)
+    idle = {"queued": F.lit(0), "running": F.lit(0)}
+    assert pick(change=dict(idle)) is None and pick(change=dict(idle), multi="multi") in (1, 2, 4)
+    assert pick(change=dict(idle), multi="multi", kind="kind", ignore=4) == 1 and pick(change=idle | {"kind": F.lit(0)}, multi="multi", kind="kind", ignore=4) in (1, 2)
+
+
+def test_wrapping(spark):
+    big, m = 1 << 62, 1 << 64
+    signed = lambda x: (x + m // 2) % m - m // 2
+    values = [big, big, big, -3, 7]
+    df = spark.createDataFrame([(1, v) for v in values], "k int, x long")
+    product = 1
+    for v in values:
+        product *= v
+    for kind, to in (("long", signed), ("unsigned long", lambda x: x % m)):
+        assert int(reduce.reduce(df, ["k"], "x", "add", kind).first()["v"]) == to(sum(values))
+        assert int(reduce.reduce(df, ["k"], "x", "product", kind).first()["v"]) == to(product)
+    odd = [(1 << 40) + 1, 12345678901, -98765432101, 3]
+    product = 1
+    for v in odd:
+        product *= v
+    df = spark.createDataFrame([(1, v) for v in odd], "k int, x long")
+    assert reduce.reduce(df, ["k"], "x", "product").first()["v"] == signed(product)
+    assert reduce.reduce(df, ["k"], "x", "product", "unsigned int").first()["v"] == product % (1 << 32)
 
 
 def test_elements(spark):
