@@ -37,6 +37,8 @@ from __future__ import annotations
 
 import itertools
 import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -353,9 +355,50 @@ def bigrams_of(state: DataFrame, k: int, classed) -> tuple[np.ndarray, np.ndarra
     return flat[: k * k].reshape(k, k), flat[k * k :]
 
 
-def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_share: float = 5e-4, lean: float = 20.0, min_count: int = 5, moves: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
-    classes: as class_count() says where it is None."""
+@dataclass
+class Model:
+    """Classes of all words, in the state's chunks, and what they count for."""
+
+    state: DataFrame
+    classed: Callable
+    k: int
+    joint: np.ndarray
+    class_words: np.ndarray
+    n_tokens: int
+    lean: float
+
+    def score(self) -> DataFrame:
+        classed, n_tokens, class_words = self.classed, self.n_tokens, self.class_words
+        class_tokens, n_words = self.joint.sum(0), int(class_words.sum())
+        transition = logs_of(self.joint, self.lean) / np.log(10)
+
+        def scored(batches):
+            for pdf in batches:
+                for r in pdf.itertuples():
+                    count, cls = unpack(r.c2) >> 1, classed(np.frombuffer(r.hashes, np.int64), unpack(r.cls))
+                    emit = np.log10((count + 1) / (class_tokens + class_words + 1)[cls])
+                    base = np.log10((count + 1) / (n_tokens + n_words + 1))
+                    codes = unpack(r.codes)
+                    at = cls[codes]
+                    each = emit[codes] + transition[np.concatenate([[0], at[:-1]]), at]
+                    first = np.cumsum(r.lengths) - r.lengths
+                    yield pd.DataFrame({
+                        "doc_id": pd.array(r.doc_ids, dtype="Int64"), "held_out": r.held, "n_tokens": r.lengths.astype(np.int64),
+                        "n_known": np.add.reduceat((count > 0)[codes].astype(np.int64), first), "train_tokens": n_tokens,
+                        "base_score": np.add.reduceat(base[codes], first), "score": np.add.reduceat(each, first)})
+
+        return self.state.mapInPandas(
+            scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
+    return fit(docs, **options).score()
+
+
+def fit(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_share: float = 5e-4, lean: float = 20.0, min_count: int = 5, moves: int = 1) -> Model:
+    """The model of the training documents among docs. classes: as class_count() says where it is
+    None."""
     spark = docs.sparkSession
     common.small_batches(spark)
     parts = common.cut(chunks(docs), "lm-chunks")
@@ -464,23 +507,4 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = 4, min_shar
             break
         common.discard(spark, state)
         state, classed, (joint, class_words) = after, lambda _, cls: cls, found
-    class_tokens, n_words = joint.sum(0), int(class_words.sum())
-    transition = logs_of(joint, lean) / np.log(10)
-
-    def scored(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                count, cls = unpack(r.c2) >> 1, classed(np.frombuffer(r.hashes, np.int64), unpack(r.cls))
-                emit = np.log10((count + 1) / (class_tokens + class_words + 1)[cls])
-                base = np.log10((count + 1) / (n_tokens + n_words + 1))
-                codes = unpack(r.codes)
-                at = cls[codes]
-                each = emit[codes] + transition[np.concatenate([[0], at[:-1]]), at]
-                first = np.cumsum(r.lengths) - r.lengths
-                yield pd.DataFrame({
-                    "doc_id": pd.array(r.doc_ids, dtype="Int64"), "held_out": r.held, "n_tokens": r.lengths.astype(np.int64),
-                    "n_known": np.add.reduceat((count > 0)[codes].astype(np.int64), first), "train_tokens": n_tokens,
-                    "base_score": np.add.reduceat(base[codes], first), "score": np.add.reduceat(each, first)})
-
-    return state.mapInPandas(
-        scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return Model(state, classed, k, joint, class_words, n_tokens, lean)

@@ -78,23 +78,48 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     a lost executor costs no recomputation of what stands above."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _made:
+        _made[-1].append(path)
+    return out
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete tables of cut() that no lazy plan needs any more, and let go of the shuffles behind
-    what has been written, which Spark deletes when the driver's garbage collector finds them."""
+#: Paths of the tables that cut() wrote inside each settled() that is open.
+_made: list[list[str]] = []
+
+
+def settled(make, name: str) -> DataFrame:
+    """What make() returns, written as a table; the other tables that cut() wrote on the way are
+    deleted, the shuffles let go of, and the user's settings put back."""
+    _made.append([])
+    try:
+        out = cut(make(), name)
+    finally:
+        *paths, own = _made.pop() or [None]
+    _delete(out.sparkSession, paths)
+    _user_batches(out.sparkSession)
+    if _made:
+        _made[-1].append(own)
+    return out
+
+
+def _delete(spark: SparkSession, paths) -> None:
     conf = spark._jsc.hadoopConfiguration()
-    for df in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            at.getFileSystem(conf).delete(at, True)
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
     gc.collect()
     for _ in range(2):
         time.sleep(1.2)  # the gateway lets go of Python's objects once a second, listeners of the last plan
         spark._jvm.System.gc()
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of cut() that no lazy plan needs any more, and let go of the shuffles behind
+    what has been written, which Spark deletes when the driver's garbage collector finds them."""
+    _delete(spark, {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()})
+
+
 def trim() -> None:
     """Give back what earlier tasks of this Python worker freed; workers outlive tasks."""
     import ctypes
@@ -108,8 +133,25 @@ def trim() -> None:
         pass
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: The user's own bound on batches, and what operators put in its place.
+_bounds: dict[str, str | None] = {"user": None, "own": None}
+
+
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
     """Bound the bytes that one Arrow batch holds, as texts may be very long; give the Python
-    workers this package."""
+    workers this package. The bound holds for the session until settled() puts the user's own back,
+    since results are lazy; a smaller one of the user's stands."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    now = spark.conf.get(_BATCH, None)
+    if now != _bounds["own"]:
+        _bounds["user"] = now
+    user = _bounds["user"]
+    _bounds["own"] = str(min(mb << 20, int(user)) if user and user.isdigit() and int(user) > 0 else mb << 20)
+    spark.conf.set(_BATCH, _bounds["own"])
+
+
+def _user_batches(spark: SparkSession) -> None:
+    if _bounds["own"] and spark.conf.get(_BATCH, None) == _bounds["own"]:
+        spark.conf.set(_BATCH, _bounds["user"]) if _bounds["user"] else spark.conf.unset(_BATCH)
+    _bounds["own"] = None

@@ -182,7 +182,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFr
     least = least_key(common.cut(scores(docs, model, seed), "quality-scores"), model)
     if least == -np.inf:
         return docs
-    noise = "__noise__"
+    noise = common.unused(docs, "noise")
 
     def run(batches):
         for batch in batches:

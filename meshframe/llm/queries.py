@@ -1,4 +1,5 @@
-"""The queries of the corpus operators: thin views of what the operators return."""
+"""The queries of the corpus operators: thin views of what the operators return. Those whose
+operators write tables on the way write their rows and delete these."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
-    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+    return common.settled(lambda: ann.nearest(vectors, vectors.where("vec_id % 50 = 0")), "op2")
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +28,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(common.table(spark, sf_dir, "documents"))
+    return common.settled(lambda: jaccard.join(common.table(spark, sf_dir, "documents")), "op4")
 
 
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return brown_lm.score(common.table(spark, sf_dir, "documents"))
+    return common.settled(lambda: brown_lm.score(common.table(spark, sf_dir, "documents")), "op5")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,15 +47,15 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return common.settled(lambda: decontaminate.hits(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")), "op8")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(common.table(spark, sf_dir, "documents"))
+    return common.settled(lambda: mixing.mix(common.table(spark, sf_dir, "documents")), "op9")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.dedup(common.table(spark, sf_dir, "documents"))
+    found = common.settled(lambda: suffix_dedup.dedup(common.table(spark, sf_dir, "documents")), "op10")
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 

@@ -1,4 +1,7 @@
-"""Operators as stages of a corpus pipeline: (spark, docs, sf_dir) to the rows that go on."""
+"""Operators as stages of a corpus pipeline: (spark, docs, sf_dir) to the rows that go on.
+
+A stage with tables of its own writes its result and deletes them, so that no stage runs beside
+what an earlier one left."""
 
 from __future__ import annotations
 
@@ -16,6 +19,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the row with the least doc_id, a null one last; of
     rows with the same doc_id one. Documents without words stay."""
+    return common.settled(lambda: _distinct(docs), "near-rows")
+
+
+def _distinct(docs: DataFrame) -> DataFrame:
     rows, key = common.keyed(docs, "near-documents")
     own = rows.select("doc_id", F.col(key).alias("key"))
     found = jaccard.join(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id")
@@ -30,12 +37,12 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def uncontaminated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+    return common.settled(lambda: decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark")), "clean-rows")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.mixed_documents(docs)
+    return common.settled(lambda: mixing.mixed_documents(docs), "mixed-rows")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from meshframe.llm import brown_lm, decontaminate, jaccard, mixing, quality, queries, secret_scan, stages, suffix_dedup, token_output
+import xxhash
+from pyspark.sql import functions as F
+from meshframe.llm import brown_lm, common, decontaminate, jaccard, mixing, quality, queries, secret_scan, stages, suffix_dedup, token_output
 
 from .conftest import EDGES, SMALL
 
@@ -237,6 +239,46 @@ def test_language_model(table, documents):
     assert brown_lm.score(documents(EDGES).limit(0)).count() == 0
 
 
+def test_language_model_score_by_force(documents):
+    """The score from the classes that the model gave the words, token by token; chances of all that
+    may follow sum to one at most."""
+    r = random.Random(11)
+    rows = [(i, " ".join(f"w{min(r.randrange(60), r.randrange(60))}" for _ in range(r.randrange(1, 30)))) for i in range(200)] + [(900, None), (901, "never seen words")]
+    model = brown_lm.fit(documents(rows), classes=9)
+    cls, count = {}, {}
+    for row in model.state.collect():
+        known = np.frombuffer(row.hashes, np.int64)
+        for h, c, n in zip(known.tolist(), model.classed(known, brown_lm.unpack(row.cls)).tolist(), (brown_lm.unpack(row.c2) >> 1).tolist()):
+            assert cls.setdefault(h, c) == c and count.setdefault(h, n) == n
+    number = lambda w: int(np.uint64(xxhash.xxh3_64_intdigest(w)).astype(np.int64))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    k = model.k
+    pair, of_class, kinds = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for i, t in rows:
+        if not held(i):
+            last = 0
+            for w in words(t) + [b""]:
+                c = cls[number(w)]
+                pair[last, c] += 1
+                of_class[c] += 1
+                last = c
+    for h, n in count.items():
+        kinds[cls[h]] += n > 0
+    share = (pair.sum(0) + 1) / (pair.sum(0) + 1).sum()
+    step = (pair + 20 * share) / (pair.sum(1, keepdims=True) + 20)
+    assert np.allclose(step.sum(1), 1)
+    for c in range(k):  # the class's words, and one slot for all that it has not seen
+        assert sum((n + 1) / (of_class[c] + kinds[c] + 1) for h, n in count.items() if n and cls[h] == c) + 1 / (of_class[c] + kinds[c] + 1) <= 1 + 1e-9
+    got = {x.doc_id: x.score for x in model.score().collect()}
+    for i, t in rows:
+        last, want = 0, 0.0
+        for w in words(t) + [b""]:
+            c = cls[number(w)]
+            want += math.log10(step[last, c] * (count[number(w)] + 1) / (of_class[c] + kinds[c] + 1))
+            last = c
+        assert got[i] == pytest.approx(want)
+
+
 def test_language_model_grows(documents):
     # Two kinds of words that no frequent word is among and whose last bytes are the same.
     r = random.Random(3)
@@ -368,6 +410,58 @@ def test_quality(table, documents, spark):
     assert quality.resample(documents(EDGES).limit(0), some).count() == 0
 
 
+def plain_grams(t):
+    """Buckets of a text's unigrams and bigrams, one by one, in whole numbers."""
+    m, out, last = 1 << 64, [], None
+    for w in words(t):
+        for part in re.findall(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+", w):
+            h = xxhash.xxh3_64_intdigest(part)
+            out.append(h >> 50)
+            if last is not None:
+                out.append((last * 0x9E3779B97F4A7C15 + (h ^ (h >> 31))) * 0x9E3779B97F4A7C15 % m >> 50)
+            last = h
+    return out
+
+
+def resampled_by_force(rows, labels):
+    """The weight of each row, and which rows the labels' best cut and the largest keys keep."""
+    mark = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            mark[i] = min(q, mark.get(i, q))
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        raw.update(plain_grams(t))
+        if mark.get(i) == 1:
+            target.update(plain_grams(t))
+    n = 1 << 14
+    p, q = sum(target.values()) + n, sum(raw.values()) + n
+    weight = [sum(math.log((target[b] + 1) / p) - math.log((raw[b] + 1) / q) for b in plain_grams(t)) for _, t in rows]
+    known = sorted((w, mark[i] == 1) for (i, _), w in zip(rows, weight) if i in mark)
+    best = min(range(len(known) + 1), key=lambda k: 5 * sum(g for _, g in known[:k]) + sum(not g for _, g in known[k:]))
+    cut = (known[best - 1][0] + known[best][0]) / 2 if 0 < best < len(known) else None
+    return weight, cut and sum(w >= cut for w in weight)
+
+
+def test_quality_by_force(spark, table):
+    rows, labels = texts_of(table("documents")), [(r.doc_id, r.quality) for r in table("labels").collect()]
+    weight, kept = resampled_by_force(rows, labels)
+    got = {r.doc_id: r for r in quality.resample(table("documents"), table("labels")).collect()}
+    assert all(got[i].log_weight == pytest.approx(w, abs=1e-6) for (i, _), w in zip(rows, weight))
+    assert sum(r.kept for r in got.values()) == kept
+    assert min(r.key for r in got.values() if r.kept) > max(r.key for r in got.values() if not r.kept)
+    assert np.std([r.key - r.log_weight for r in got.values()]) == pytest.approx(math.pi / 6**0.5, rel=0.25)
+
+
+def test_quality_of_rows_without_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known = sorted((r.doc_id, r.quality) for r in labels.collect() if r.quality is not None)
+    half = [x for k, x in enumerate(known) if k % 2]
+    got = {r.doc_id: r.kept for r in quality.resample(docs, spark.createDataFrame(half, "doc_id long, quality int")).collect()}
+    for label, least in ((1, 0.9), (0, 0.7)):
+        assert np.mean([got[i] == (q == 1) for i, q in known[::2] if i in got and q == label]) > least
+
+
 def test_kth_largest(spark):
     df = spark.range(50_000).selectExpr("cast(pmod(xxhash64(id), 1000) as double) as x")
     values = sorted((r.x for r in df.collect()), reverse=True)
@@ -541,6 +635,60 @@ def test_pipeline(spark):
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.count() > 100
 
 
+def test_stages_by_force(spark, table):
+    """Each stage of the pipeline on what the one before kept, against plain Python."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    docs = table("documents")
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    good = stages.good_documents(spark, docs, SMALL)
+    weight, n = resampled_by_force(texts_of(docs), [(r.doc_id, r.quality) for r in table("labels").collect()])
+    assert good.count() == n
+    one = stages.distinct_documents(spark, good, SMALL)
+    assert ids(one) == sorted({c if k else i for i, k, c in components_by_force(texts_of(good))})
+    some = one.where("doc_id % 4 = 0 or length(text) < 1000")  # the force below compares word by word
+    items = [(r.item_id, r.text) for r in table("benchmark").collect()]
+    leaked = {x[0] for x in overlaps_by_force([x for x in texts_of(some) if len(words(x[1])) < 400], items[::4])}
+    clean = stages.uncontaminated_documents(spark, some, SMALL)
+    assert not leaked & set(ids(clean)) and len(ids(clean)) > 0.8 * some.count()
+    mixed = stages.mixed_documents(spark, clean, SMALL)
+    want, total, goal = mix_by_force([(r.doc_id, r.text, r.source) for r in clean.collect()])
+    taken, longest = collections.Counter(), collections.Counter()
+    for r in mixed.collect():
+        size = len(words(r.text))
+        taken[r.source] += size
+        longest[r.source] = max(longest[r.source], size)
+    assert max(collections.Counter(ids(mixed)).values()) <= 2
+    assert all(abs(taken[s] - goal[s]) <= max(3 * longest[s], 0.4 * goal[s]) for s in total)
+    got = stages.token_files(spark, mixed, SMALL).collect()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    of = {r.doc_id: plain.encode(r.text or "", add_special_tokens=False).ids + [2] for r in clean.collect()}
+    assert sorted(r.doc_id for r in got) == ids(mixed)
+    assert all((r.n_tokens, r.ids_crc32) == (len(of[r.doc_id]), zlib.crc32(np.array(of[r.doc_id], "<u4").tobytes())) for r in got)
+
+
+def test_clashing_names(spark, documents):
+    names = "row_key rid h key noise leak_items leak_key_a slot bucket end start taken copies __rid__ __noise__ __copies__ __copy__ item hash words".split()
+    df = documents([x for x in EDGES if x[0] not in (6, 7)]).select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(f"own {n}").alias(n) for n in names))
+    for stage in (stages.good_documents, stages.distinct_documents, stages.uncontaminated_documents, stages.mixed_documents):
+        out = stage(spark, df, SMALL)
+        assert out.columns == df.columns and out.count() > 0
+        assert all(r[n] == f"own {n}" for r in out.collect() for n in names)
+    for made in (queries.secret_scan.scan(df), jaccard.join(df), brown_lm.score(df, classes=4), mixing.mix(df), suffix_dedup.dedup(df)):
+        assert made.count() == df.count()
+
+
+def test_settings_and_tables_are_put_back(spark, documents):
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(bound, "1234567")
+    found = common.settled(lambda: mixing.mix(documents(EDGES)), "test")
+    assert spark.conf.get(bound) == "1234567" and found.count() == len(EDGES)
+    spark.conf.unset(bound)
+    left = {f.rsplit("/", 1)[0] for f in found.inputFiles()}
+    assert len(left) == 1 and "test-" in left.pop()
+
+
 def test_stages_keep_columns_and_odd_rows(spark, documents):
     df = documents(EDGES)
     for _, stage in (("a", stages.good_documents), ("b", stages.distinct_documents), ("c", stages.uncontaminated_documents), ("d", stages.mixed_documents)):
