@@ -51,7 +51,21 @@ def keyed(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The rows as a table with a key of their own, written, so that every later job finds the same
     keys; and the key's name."""
     key = unused(df, "row_key")
-    return cut(df.withColumn(key, F.monotonically_increasing_id()), name), key
+    rows = cut(df.withColumn(key, F.monotonically_increasing_id()), name)
+    _keyed.update(f.rsplit("/", 1)[0] for f in rows.inputFiles())
+    return rows, key
+
+
+#: Tables of keyed() that are still there.
+_keyed: set[str] = set()
+
+
+def sweep(docs: DataFrame) -> None:
+    """Delete the tables that keyed() made for rows that have been written since, which are all but
+    those that docs is read from; let go of the shuffles."""
+    gone = _keyed - {f.rsplit("/", 1)[0] for f in docs.inputFiles()}
+    _keyed.difference_update(gone)
+    _delete(docs.sparkSession, gone)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -196,17 +196,22 @@ def mixed_documents(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, cap=2.0
     documents without words, which are kept once, stand anywhere, by their hash."""
     rows, key = common.keyed(docs, "mix-documents")
     own = rows.select("doc_id", "text", "source", F.col(key).alias("key"))
-    placed, slots, n_slots = _placed(own, weights, share, cap, seed, max_sources, ("key",))
-    part = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1.0))
-    spare = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    copies = (F.floor(part) + F.when(spare < part - F.floor(part), 1).otherwise(0)).cast("int")
     order = common.unused(rows, "slot")
-    counts = common.cut(
-        placed.select("key", "h", "src", "rank", "blocks", copies.alias("copies")).where("copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-        .withColumn("rank", F.col("rank") + F.col("copy") * F.col("blocks"))
-        .join(slots.hint("merge"), ["src", "rank"], "left")
-        .select(F.col("key").alias(key), F.coalesce("slot", F.pmod(F.xxhash64("h", "copy"), F.lit(max(1, n_slots)))).alias(order)), "mix-copies")
+
+    def copies() -> DataFrame:
+        placed, slots, n_slots = _placed(own, weights, share, cap, seed, max_sources, ("key",))
+        part = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1.0))
+        spare = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        n = (F.floor(part) + F.when(spare < part - F.floor(part), 1).otherwise(0)).cast("int")
+        return (
+            placed.select("key", "h", "src", "rank", "blocks", n.alias("copies")).where("copies > 0")
+            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+            .withColumn("rank", F.col("rank") + F.col("copy") * F.col("blocks"))
+            .join(slots.hint("merge"), ["src", "rank"], "left")
+            .select(F.col("key").alias(key), F.coalesce("slot", F.pmod(F.xxhash64("h", "copy"), F.lit(max(1, n_slots)))).alias(order))
+        )
+
+    counts = common.settled(copies, "mix-copies")
     return (
         rows.join(counts.hint("merge"), key)  # one row for a document: never to be broadcast
         .repartitionByRange(order).sortWithinPartitions(order)

@@ -642,17 +642,17 @@ def test_stages_by_force(spark, table):
 
     docs = table("documents")
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
-    good = stages.good_documents(spark, docs, SMALL)
+    good = common.cut(stages.good_documents(spark, docs, SMALL), "good")
     weight, n = resampled_by_force(texts_of(docs), [(r.doc_id, r.quality) for r in table("labels").collect()])
     assert good.count() == n
-    one = stages.distinct_documents(spark, good, SMALL)
+    one = common.cut(stages.distinct_documents(spark, good, SMALL), "one")
     assert ids(one) == sorted({c if k else i for i, k, c in components_by_force(texts_of(good))})
     some = one.where("doc_id % 4 = 0 or length(text) < 1000")  # the force below compares word by word
     items = [(r.item_id, r.text) for r in table("benchmark").collect()]
     leaked = {x[0] for x in overlaps_by_force([x for x in texts_of(some) if len(words(x[1])) < 400], items[::4])}
-    clean = stages.uncontaminated_documents(spark, some, SMALL)
+    clean = common.cut(stages.uncontaminated_documents(spark, some, SMALL), "clean")
     assert not leaked & set(ids(clean)) and len(ids(clean)) > 0.8 * some.count()
-    mixed = stages.mixed_documents(spark, clean, SMALL)
+    mixed = common.cut(stages.mixed_documents(spark, clean, SMALL), "mixed")
     want, total, goal = mix_by_force([(r.doc_id, r.text, r.source) for r in clean.collect()])
     taken, longest = collections.Counter(), collections.Counter()
     for r in mixed.collect():
