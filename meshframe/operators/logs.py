@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.arithmetic import two_decimals
 from .redistribute import positions
+from .scan import CHUNK
 
 # The lines' forms and the modes' names.
 RUN_TIME = r"(Serial Task|Parallel Task ([1-6])) Execution Time = ([0-9.]+)"
@@ -32,11 +33,29 @@ def run_times(lines: DataFrame) -> DataFrame:
 
 def run_statistics(times: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, median and deviation of seconds, to two decimals. The deviation is the population's,
-    about the mean as rounded. Groups without samples have no row, which a report shows as null."""
-    first = times.groupBy(*keys).agg(two_decimals(F.avg("seconds")).alias("mean"), two_decimals(F.percentile("seconds", 0.5)).alias("median"), F.count("*").alias("samples"))
-    about = times.join(first.select(*keys, "mean"), keys)
-    sd = about.groupBy(*keys).agg(two_decimals(F.sqrt(F.avg((F.col("seconds") - F.col("mean")) * (F.col("seconds") - F.col("mean"))))).alias("sd"))
-    return first.join(sd, keys)
+    about the mean as rounded. Groups without samples have no row, which a report shows as null.
+
+    Medians are picked by position, so that no group has to fit in one task."""
+    mean, off = F.avg("seconds"), F.avg("seconds") - two_decimals(F.avg("seconds"))
+    first = times.groupBy(*keys).agg(
+        two_decimals(mean).alias("mean"), F.count("*").alias("samples"), two_decimals(F.sqrt(F.var_pop("seconds") + off * off)).alias("sd"))
+    # Equal times go to any place among themselves, and so to any task.
+    placed = _in_groups(times.where("seconds IS NOT NULL").select(*keys, "seconds"), keys, ["seconds", F.rand(7)])
+    middle = placed.where("place_ IN ((n_ - 1) div 2, n_ div 2)").groupBy(*keys).agg(two_decimals(F.avg("seconds")).alias("median"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return first.alias("a").join(middle.alias("b"), same, "left").select("a.*", "b.median").select(*keys, "mean", "median", "samples", "sd")
+
+
+def _in_groups(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """df with place_, a row's place in its group from 0, and n_, the rows of its group. One range
+    exchange sorts all groups; a group may take any number of tasks."""
+    group = F.struct(*keys) if keys else F.struct(F.lit(0))
+    placed = positions(df.withColumn("group_", group), ["group_", *order], "place_")
+    # A row for each group.
+    groups = placed.groupBy("group_").agg(F.min("place_").alias("from_"), F.count("*").alias("n_"))
+    return placed.join(groups, "group_").withColumn("place_", F.col("place_") - F.col("from_")).drop("group_", "from_")
 
 
 def report(statistics: DataFrame, row: str, value: str = "mean") -> DataFrame:
@@ -76,10 +95,17 @@ def steal_overhead(dynamic: DataFrame, static: DataFrame, keys: list[str]) -> Da
 
 def timeline(lines: DataFrame, log: str, number: str) -> DataFrame:
     """host, task, subtask, cancelled, begin, end of each subtask line; host and task come from the
-    last header above it in the same log. A log is one file and stays in one task."""
-    w = Window.partitionBy(log).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
-    carried = lambda g: F.last(_found(HEADER, g, "int"), ignorenulls=True).over(w)
-    return lines.select(log, number, "line", carried(1).alias("host"), carried(2).alias("task")).where(F.col("line").rlike(SUBTASK)).select(
+    last header above it in the same log. CHUNK lines are read in a task; the last header of each
+    chunk is carried to those after it."""
+    head = F.when(F.col("line").rlike(HEADER), F.struct(_found(HEADER, 1, "int").alias("host"), _found(HEADER, 2, "int").alias("task")))
+    told = lines.select(log, number, "line").where(F.col("line").rlike(f"{HEADER}|{SUBTASK}")).withColumn("head_", head).withColumn("c_", F.floor(F.col(number) / CHUNK))
+    own = Window.partitionBy(log, "c_").orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(log).orderBy("c_").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each chunk.
+    chunks = told.groupBy(log, "c_").agg(F.max_by("head_", F.when(F.col("head_").isNotNull(), F.col(number))).alias("last_")).select(
+        log, "c_", F.last("last_", ignorenulls=True).over(before).alias("above_"))
+    at = F.coalesce(F.last("head_", ignorenulls=True).over(own), F.col("above_"))
+    return told.join(chunks, [log, "c_"]).withColumn("head_", at).where(F.col("line").rlike(SUBTASK)).select(log, number, "line", "head_.host", "head_.task").select(
         log, number, "host", "task", _found(SUBTASK, 1, "long").alias("subtask"), F.col("line").contains("_Cancelled").alias("cancelled"), _found(SUBTASK, 3, "double").alias("begin"), _found(SUBTASK, 4, "double").alias("end"))
 
 
@@ -106,10 +132,20 @@ def profiles(lines: DataFrame) -> DataFrame:
 
 def overlapped(spans: DataFrame, keys: list[str], begin: str, end: str) -> DataFrame:
     """accumulated: the sum over time of how many spans run; actual: time with any; overlapped: the
-    difference. A sweep over the ends of the spans, those at one time as one row."""
+    difference. A sweep over the ends of the spans, those at one time as one row, in chunks of
+    their order: a chunk starts with the sum of those before it and ends where the next begins."""
     edges = spans.select(*keys, F.explode(F.array(F.struct(F.col(begin).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e")).groupBy(*keys, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"))
-    w = Window.partitionBy(*keys).orderBy("t")
-    steps = edges.withColumn("n", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("dt", F.lead("t").over(w) - F.col("t"))
+    chunked = _in_groups(edges, keys, ["t"]).select(*keys, "t", "d", F.expr(f"place_ div {CHUNK}").alias("c_"))
+    above = Window.partitionBy(*keys).orderBy("c_")
+    # A row for each chunk.
+    chunks = chunked.groupBy(*keys, "c_").agg(F.sum("d").alias("d_"), F.min("t").alias("t_")).select(
+        *keys, "c_", F.coalesce(F.sum("d_").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.lead("t_").over(above).alias("next_"))
+    w = Window.partitionBy(*keys, "c_").orderBy("t")
+    steps = (
+        chunked.join(chunks, [*keys, "c_"])
+        .withColumn("n", F.col("before_") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("dt", F.coalesce(F.lead("t").over(w), F.col("next_")) - F.col("t"))
+    )
     sums = steps.groupBy(*keys).agg(F.sum(F.col("n") * F.col("dt")).alias("accumulated"), F.sum(F.when(F.col("n") > 0, F.col("dt")).otherwise(0)).alias("actual"))
     return sums.withColumn("overlapped", F.col("accumulated") - F.col("actual"))
 
@@ -122,9 +158,7 @@ def chart_table(df: DataFrame, select: list[int] | None = None, skip: list[int]
 
 def median_sample(samples: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """The sample in the middle of each group, the lower one of two."""
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(value, tie))
-    return samples.withColumn("place_", place).withColumn("n_", F.count("*").over(w)).where(F.col("place_") == F.floor((F.col("n_") + 1) / 2)).drop("place_", "n_")
+    return _in_groups(samples, keys, [value, tie]).where("place_ = (n_ - 1) div 2").drop("place_", "n_")
 
 
 def result_cube(results: DataFrame, varyings: list[str], settings: list[str], value: str) -> DataFrame:

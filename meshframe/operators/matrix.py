@@ -7,59 +7,101 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import drop, durable, fresh
 from ..session import ship
 from . import scan
 
 
-def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    """A * B by an equi-join on the inner index and a partial and final sum; right for dense and
-    sparse, best for sparse or narrow matrices."""
+#: Products of elements that take as long as one multiplication in a dense block does.
+PRODUCT = 1 / 200
+#: Columns of a dense result that are sent to every task at most.
+WIDE = 100_000
+
+
+def matmul(a: DataFrame, b: DataFrame, block: int = 512) -> DataFrame:
+    """A * B, whole numbers exactly: by an equi-join on the inner index and a partial and final sum
+    where sparse, by dense blocks where the join would have more products to sum."""
+    if _worth_blocks(a, b, block):
+        return matmul_blocks(a, b, block, zeros=True)
     left = a.select(F.col("r"), F.col("c").alias("k"), F.col("v").alias("x"))
     right = b.select(F.col("r").alias("k"), F.col("c"), F.col("v").alias("y"))
     return left.join(right, "k").groupBy("r", "c").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
+def _worth_blocks(a: DataFrame, b: DataFrame, block: int) -> bool:
+    """Whether the join's products outweigh the work on dense blocks, from counts by inner index."""
+    kinds = {f.dataType.typeName() for m in (a, b) for f in m.schema if f.name == "v"}
+    if not (kinds <= {"byte", "short", "integer", "long"} or kinds <= {"float", "double"}):
+        return False
+    own = a.groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n"))
+    other = b.groupBy(F.col("r").alias("k")).agg(F.count("*").alias("m"))
+    products = own.join(other, "k").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0.0
+    # No pair of blocks takes less than one cell, so few products need no count of blocks.
+    if products * PRODUCT < 1e6:
+        return False
+    at = lambda c: F.floor(F.col(c) / block)
+    rows = a.select(at("c").alias("k"), at("r").alias("o")).distinct().groupBy("k").agg(F.count("*").alias("n"))
+    cols = b.select(at("r").alias("k"), at("c").alias("o")).distinct().groupBy("k").agg(F.count("*").alias("m"))
+    pairs = rows.join(cols, "k").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0.0
+    return products > pairs * block**3 * PRODUCT
+
+
 def sparse_times_dense(a: DataFrame, b: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Sparse A times dense B; with rows (r), a dense result where rows without elements are 0."""
     out = matmul(a.where("v <> 0"), b)
     if rows is None:
         return out
-    cells = rows.select("r").distinct().join(F.broadcast(b.select("c").distinct()), how="cross")
+    columns, rows = b.select("c").distinct(), rows.select("r").distinct()
+    n = columns.count()
+    if n <= WIDE:
+        cells = rows.join(F.broadcast(columns), how="cross")
+    else:  # groups of columns meet every row
+        groups = -(-n // WIDE) * 8
+        cells = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(
+            columns.withColumn("g", F.pmod(F.hash("c"), F.lit(groups))), "g").drop("g")
     return cells.join(out, ["r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
 
 
-def to_blocks(a: DataFrame, block: int) -> DataFrame:
-    """(br, bc, cells) with the cells of each block as arrays."""
-    return a.groupBy(F.floor(F.col("r") / block).alias("br"), F.floor(F.col("c") / block).alias("bc")).agg(
-        F.collect_list(F.struct((F.col("r") % block).cast("int").alias("i"), (F.col("c") % block).cast("int").alias("j"), F.col("v").cast("double").alias("v"))).alias("cells"))
+#: The arrays that hold a block's cells.
+CELLS = ("i", "j", "v")
+
 
+def to_blocks(a: DataFrame, block: int, kind: str = "double") -> DataFrame:
+    """(br, bc, i, j, v) with the cells of each block as arrays."""
+    cell = F.struct((F.col("r") % block).cast("int").alias("i"), (F.col("c") % block).cast("int").alias("j"), F.col("v").cast(kind).alias("v"))
+    return a.groupBy(F.floor(F.col("r") / block).alias("br"), F.floor(F.col("c") / block).alias("bc")).agg(F.collect_list(cell).alias("x")).select(
+        "br", "bc", *(F.col(f"x.{c}").alias(c) for c in CELLS))
 
-def _dense(cells, block: int) -> np.ndarray:
-    out = np.zeros((block, block))
-    if len(cells):
-        out[[x["i"] for x in cells], [x["j"] for x in cells]] = [x["v"] for x in cells]
+
+def _dense(i, j, v, block: int, kind=np.float64) -> np.ndarray:
+    out = np.zeros((block, block), kind)
+    out[np.asarray(i, np.int64), np.asarray(j, np.int64)] = np.asarray(v, kind)
     return out
 
 
-def _cells(m: np.ndarray, br: int, bc: int, block: int) -> pd.DataFrame:
-    i, j = np.nonzero(m)
+def _cells(m: np.ndarray, br: int, bc: int, block: int, held: np.ndarray | None = None) -> pd.DataFrame:
+    i, j = np.nonzero(m if held is None else held)
     return pd.DataFrame({"r": br * block + i, "c": bc * block + j, "v": m[i, j]})
 
 
-def matmul_blocks(a: DataFrame, b: DataFrame, block: int = 512) -> DataFrame:
+def matmul_blocks(a: DataFrame, b: DataFrame, block: int = 512, zeros: bool = False) -> DataFrame:
     """A * B of dense matrices: blocks that share an inner index meet, numpy multiplies them, and
-    products of a block are summed. Elements that come out as 0 are left out."""
+    products of a block are summed. Elements that come out as 0 in a product of two blocks are left
+    out; with zeros, those without any pair of elements are. Whole numbers are multiplied exactly."""
     ship(a.sparkSession)
-    x = to_blocks(a, block).withColumnsRenamed({"bc": "bk", "cells": "left"})
-    y = to_blocks(b, block).withColumnsRenamed({"br": "bk", "cells": "right"})
+    whole = all(m.schema["v"].dataType.typeName() in ("byte", "short", "integer", "long") for m in (a, b))
+    kind, sql = (np.int64, "long") if whole else (np.float64, "double")
+    x = to_blocks(a, block, sql).withColumnsRenamed({"bc": "bk", **{c: f"x{c}" for c in CELLS}})
+    y = to_blocks(b, block, sql).withColumnsRenamed({"br": "bk", **{c: f"y{c}" for c in CELLS}})
+    both = [f"{side}{c}" for side in "xy" for c in CELLS]
 
     def multiply(batches):
         for pdf in batches:
-            for br, bc, left, right in zip(pdf["br"], pdf["bc"], pdf["left"], pdf["right"]):
-                yield _cells(_dense(left, block) @ _dense(right, block), br, bc, block)
+            for br, bc, xi, xj, xv, yi, yj, yv in zip(pdf["br"], pdf["bc"], *(pdf[c] for c in both)):
+                held = _dense(xi, xj, np.ones(len(xi)), block) @ _dense(yi, yj, np.ones(len(yi)), block) if zeros else None
+                yield _cells(_dense(xi, xj, xv, block, kind) @ _dense(yi, yj, yv, block, kind), br, bc, block, held)
 
-    return x.join(y, "bk").select("br", "bc", "left", "right").mapInPandas(multiply, "r long, c long, v double").groupBy("r", "c").agg(F.sum("v").alias("v"))
+    return x.join(y, "bk").select("br", "bc", *both).mapInPandas(multiply, f"r long, c long, v {sql}").groupBy("r", "c").agg(F.sum("v").alias("v"))
 
 
 def row_pointers(a: DataFrame, rows: DataFrame) -> DataFrame:
@@ -88,14 +130,14 @@ def lu(a: DataFrame, n: int, block: int = 64) -> DataFrame:
     on a zero pivot."""
     spark = a.sparkSession
     ship(spark)
-    blocks = to_blocks(a, block).select("br", "bc", "cells")
     count = -(-n // block)
     size = lambda b: min(block, n - b * block)
     schema = "br long, bc long, data binary"
 
     def packed(batches):
         for pdf in batches:
-            yield pd.DataFrame({"br": pdf["br"], "bc": pdf["bc"], "data": [_dense(c, block).tobytes() for c in pdf["cells"]]})
+            data = [_dense(i, j, v, block).tobytes() for i, j, v in zip(pdf["i"], pdf["j"], pdf["v"])]
+            yield pd.DataFrame({"br": pdf["br"], "bc": pdf["bc"], "data": data})
 
     def load(raw, br, bc):
         return np.frombuffer(raw).reshape(block, block)[: size(br), : size(bc)]
@@ -105,25 +147,28 @@ def lu(a: DataFrame, n: int, block: int = 64) -> DataFrame:
         out[: m.shape[0], : m.shape[1]] = m
         return out.tobytes()
 
-    state = durable(blocks.mapInPandas(packed, schema))
+    # A round writes its finished row and column of blocks, which nothing touches again, and the
+    # blocks that are still open; those of the round before go.
+    finished, path = fresh(spark), fresh(spark)
+    state = durable(to_blocks(a, block).mapInPandas(packed, schema), path)
     for k in range(count):
 
-        def factored(batches, k=k):
-            for pdf in batches:
-                data = []
-                for raw in pdf["data"]:
-                    m = crout(load(raw, k, k))
-                    if not np.isfinite(m).all():
-                        raise ZeroDivisionError("zero pivot")
-                    data.append(store(m))
-                yield pd.DataFrame({"br": k, "bc": k, "data": data})
-
         def solved(batches, k=k):
+            p = None
             for pdf in batches:
                 data = []
                 for br, bc, raw, pivot in zip(pdf["br"], pdf["bc"], pdf["data"], pdf["pivot"]):
-                    p, m = load(pivot, k, k), load(raw, br, bc)
-                    m = np.linalg.solve(np.tril(p), m) if br == k else np.linalg.solve((np.triu(p, 1) + np.eye(len(p))).T, m.T).T
+                    if p is None:  # the same for all rows
+                        p = crout(load(pivot, k, k))
+                        if not np.isfinite(p).all():
+                            raise ZeroDivisionError("zero pivot")
+                    m = load(raw, br, bc)
+                    if br == bc:
+                        m = p
+                    elif br == k:
+                        m = np.linalg.solve(np.tril(p), m)
+                    else:
+                        m = np.linalg.solve((np.triu(p, 1) + np.eye(len(p))).T, m.T).T
                     data.append(store(m))
                 yield pd.DataFrame({"br": pdf["br"], "bc": pdf["bc"], "data": data})
 
@@ -132,23 +177,25 @@ def lu(a: DataFrame, n: int, block: int = 64) -> DataFrame:
                 data = [store(load(x, r, c) - np.frombuffer(lo).reshape(block, block)[: size(r)] @ np.frombuffer(up).reshape(block, block)[:, : size(c)]) for r, c, x, lo, up in zip(pdf["br"], pdf["bc"], pdf["data"], pdf["low"], pdf["up"])]
                 yield pd.DataFrame({"br": pdf["br"], "bc": pdf["bc"], "data": data})
 
-        at = (F.col("br") == k) & (F.col("bc") == k)
-        edge = ((F.col("br") == k) & (F.col("bc") > k)) | ((F.col("bc") == k) & (F.col("br") > k))
-        pivot = durable(state.where(at).mapInPandas(factored, schema))
+        edge = (F.col("br") == k) | (F.col("bc") == k)
         # One block of fixed size.
-        sides = durable(state.where(edge).join(F.broadcast(pivot.select(F.col("data").alias("pivot"))), how="cross").mapInPandas(solved, schema))
+        pivot = F.broadcast(state.where((F.col("br") == k) & (F.col("bc") == k)).select(F.col("data").alias("pivot")))
+        sides = durable(state.where(edge).join(pivot, how="cross").mapInPandas(solved, schema), f"{finished}/{k}")
+        if k + 1 == count:
+            break
         low = sides.where(F.col("bc") == k).select("br", F.col("data").alias("low"))
         up = sides.where(F.col("br") == k).select("bc", F.col("data").alias("up"))
-        inner = state.where((F.col("br") > k) & (F.col("bc") > k)).join(low, "br").join(up, "bc").select("br", "bc", "data", "low", "up").mapInPandas(updated, schema)
-        done = state.where((F.col("br") < k) | (F.col("bc") < k))
-        state = durable(done.unionByName(pivot).unionByName(sides).unionByName(inner))
+        old, path = path, fresh(spark)
+        state = durable(state.where(~edge).join(low, "br").join(up, "bc").select("br", "bc", "data", "low", "up").mapInPandas(updated, schema), path)
+        drop(spark, old)
+    drop(spark, path)
 
     def unpacked(batches):
         for pdf in batches:
             for br, bc, raw in zip(pdf["br"], pdf["bc"], pdf["data"]):
                 yield _cells(load(raw, br, bc), br, bc, block)
 
-    return state.mapInPandas(unpacked, "r long, c long, v double")
+    return spark.read.schema(schema).parquet(f"{finished}/*").mapInPandas(unpacked, "r long, c long, v double")
 
 
 def lower(packed: DataFrame) -> DataFrame:

@@ -21,11 +21,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return at if ":" in at.split("/")[0] else f"file://{at}"
 
 
-def durable(df: DataFrame) -> DataFrame:
+def fresh(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{scratch_dir(spark)}/durable-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that no plan reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def durable(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows written and read again: rows and their partitions stay what they are, and a lost
     executor costs nothing that stands above."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/durable-{uuid.uuid4().hex}"
+    path = path or fresh(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

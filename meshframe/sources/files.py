@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..plans.durable import durable
 from ..session import ship
 
 
@@ -46,7 +48,14 @@ def put(uri: str, raw: bytes) -> None:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(log, number, line) of text logs, numbered from 0 in each file. A log is a file that one
-    task reads."""
-    whole = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("log"), "value")
-    return whole.select("log", F.posexplode(F.split("value", "\n")).alias("number", "line"))
+    """(log, number, line) of text logs, numbered from 0 in each file; lines end at line feeds, and
+    an empty file has none. A long log is read in parts by many tasks; the lines are written once
+    with their part and their place, so that no later task can see them parted otherwise."""
+    read = spark.read.text(paths, lineSep="\n")
+    parted = durable(read.select(
+        F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")))
+    before = Window.partitionBy("log").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each part; the lines of one follow each other.
+    parts = parted.groupBy("log", "part").agg(F.min("at").alias("first"), F.count("*").alias("n")).select(
+        "log", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return parted.join(parts, ["log", "part"]).select("log", (F.col("at") + F.col("shift")).alias("number"), "line")

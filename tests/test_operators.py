@@ -287,3 +287,35 @@ def _slow(batches):
 def test_iterate(spark):
     got = iterate(lambda df, k: df.withColumn("v", F.col("v") + k), arrays.linear(spark, 2), 4)
     assert [r.v for r in got.collect()] == [6, 6]
+
+
+def test_products_in_blocks_when_dense(spark, monkeypatch):
+    a, b = np.random.default_rng(5).integers(-9, 9, (7, 6)), np.random.default_rng(6).integers(-9, 9, (6, 5))
+    a[0] = 0
+    want = {(r.r, r.c, r.v) for r in matrix.matmul(cells(spark, a), cells(spark, b)).collect()}
+    monkeypatch.setattr(matrix, "PRODUCT", 1e9)
+    x, y = cells(spark, a), cells(spark, b)
+    assert not matrix._worth_blocks(x.where('r < 0'), y, 4)
+    got = matrix.matmul_blocks(x, y, 4, zeros=True)
+    assert {(r.r, r.c, r.v) for r in got.collect()} == want
+
+
+def test_chunks_of_logs(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(3)
+    spans = [("ab"[int(k)], int(x), int(x + y)) for k, x, y in zip(rng.integers(0, 2, 40), rng.integers(0, 30, 40), rng.integers(1, 9, 40))]
+    df = spark.createDataFrame(spans, "k string, b long, e long")
+    log = tmp_path / "run.log"
+    log.write_text("".join(f"Task [{i // 7}, {i}]\n" if i % 7 == 3 else f"Subtask {i} {i}.0 {i + 1}.5\n" if i % 5 else "noise\n" for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = files.read_lines(spark, str(log))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line for r in lines.orderBy("number").collect()] == log.read_text().splitlines()
+    assert sorted(r.number for r in lines.collect()) == list(range(400))
+    whole = logs.timeline(lines, "log", "number").collect(), sorted(logs.overlapped(df, ["k"], "b", "e").collect())
+    monkeypatch.setattr(logs, "CHUNK", 3)
+    assert (sorted(logs.timeline(lines, "log", "number").collect(), key=str), sorted(logs.overlapped(df, ["k"], "b", "e").collect())) == (sorted(whole[0], key=str), whole[1])
+    for k, accumulated, actual, _ in whole[1]:
+        own = [range(b, e) for kk, b, e in spans if kk == k]
+        assert (accumulated, actual) == (sum(map(len, own)), len(set().union(*own)))
