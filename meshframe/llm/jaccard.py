@@ -37,6 +37,8 @@ from . import common
 N = 5
 #: Counters of the sketch, as a power of two, and the slices that carry them.
 SKETCH_BITS, SLICES = 23, 16
+#: The filter of documents at most, as a power of two; sets that a task remembers.
+BLOOM_BITS, SENT = 27, 500_000
 #: Sets in a block at most, but for the one that all parts of a block share.
 BLOCK = 400
 LEVEL_SHIFT, HASH_SHIFT = 58, 6
@@ -241,8 +243,10 @@ def _shared(batches):
         yield held
 
 
-def _bloom(keys: DataFrame, column: str, bits: int = 23) -> np.ndarray:
-    """A bit for the hash of each value: of fixed size, so that it may be sent everywhere."""
+def _bloom(keys: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bit for the hash of each value, some 16 bits for a value between 2^16 and 2^BLOOM_BITS, so
+    that it may be sent everywhere; and the bits as a power of two."""
+    bits = min(BLOOM_BITS, max(16, (16 * keys.count()).bit_length()))
 
     def marked(batches):
         out = np.zeros(1 << bits, bool)
@@ -254,7 +258,7 @@ def _bloom(keys: DataFrame, column: str, bits: int = 23) -> np.ndarray:
     total = np.zeros(1 << bits >> 3, np.uint8)
     for r in rows:
         total |= np.frombuffer(r["bits"], np.uint8)
-    return total
+    return total, bits
 
 
 def _bloom_at(values: np.ndarray, bits: int) -> np.ndarray:
@@ -262,18 +266,27 @@ def _bloom_at(values: np.ndarray, bits: int) -> np.ndarray:
         return (_mix(values.astype(np.int64).view(np.uint64) * _MUL) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _sized(first: DataFrame, sizes: DataFrame) -> DataFrame:
+    """first with the size m of each label. Labels of a thousandth of all rows or more, of which
+    there are a thousand at most, are broadcast, and their rows stay where they are."""
+    least = max(100, first.count() // 1000)
+    hot = F.broadcast(sizes.where(F.col("m") > least))
+    rare = first.join(hot.select("label"), "label", "left_anti").join(sizes.where(F.col("m") <= least), "label")
+    return first.join(hot, "label").unionByName(rare)
+
+
 NO_ID = -(1 << 63)
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, levels: np.ndarray) -> DataFrame:
     """(key, owner, set) with all the wanted (key, owner), and some others: only documents whose id
     may be an owner's are read into sets, and only those travel."""
-    bloom = _bloom(wanted, "owner")
+    bloom, bits = _bloom(wanted, "owner")
 
     def run(batches):
         for pdf in batches:
             ids = pdf["doc_id"].to_numpy()
-            at = _bloom_at(ids, 23)
+            at = _bloom_at(ids, bits)
             part = pdf[(bloom[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)]
             sets = shingle_sets(part["text"])
             keep = [i for i, s in enumerate(sets) if len(s)]
@@ -353,13 +366,18 @@ def join(docs: DataFrame) -> DataFrame:
     some = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
 
     def quarters(batches):
+        sent: set[int] = set()  # sets of this task, of which copies need not travel
         for pdf in batches:
-            sets = [s for s in shingle_sets(pdf["text"]) if len(s)]
+            if len(sent) > SENT:
+                sent.clear()
+            sets = {k: s for s in shingle_sets(pdf["text"]) if len(s) and (k := set_key(s)) not in sent}
+            sent.update(sets)
+            keys, sets = list(sets), list(sets.values())
             for at in range(0, len(sets), 500):
                 part = sets[at : at + 500]
                 heads = [ordered(s, levels)[: len(s) - -(-3 * len(s) // 4) + 1] for s in part]
                 n = [len(h) for h in heads]
-                yield pd.DataFrame({"token": np.concatenate(heads).view(np.int64), "key": np.repeat([set_key(s) for s in part], n), "place": np.repeat(np.array([len(s) for s in part], np.int64) << 32, n) + np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)})
+                yield pd.DataFrame({"token": np.concatenate(heads).view(np.int64), "key": np.repeat(keys[at : at + 500], n), "place": np.repeat(np.array([len(s) for s in part], np.int64) << 32, n) + np.arange(sum(n)) - np.repeat(np.cumsum(n) - n, n)})
         common.trim()
 
     rows = common.cut(
@@ -377,7 +395,7 @@ def join(docs: DataFrame) -> DataFrame:
     w = Window.partitionBy("token")
     sizes = first.groupBy("label").agg(F.count("*").alias("m"))
     known = (
-        counts.select("key", F.col("c").alias("s")).join(first.join(sizes, "label"), "key", "left")
+        counts.select("key", F.col("c").alias("s")).join(_sized(first, sizes), "key", "left")
         .select("key", "s", F.coalesce("label", "key").alias("label"), F.coalesce("m", F.lit(1)).alias("m"))
     )
     # One exchange by key and one by token; all that follows up to the join stays where it is.
