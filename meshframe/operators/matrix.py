@@ -12,8 +12,9 @@ from ..session import ship
 from . import scan
 
 
-#: Products of elements that take as long as one multiplication in a dense block does.
-PRODUCT = 1 / 200
+#: Joined products that take as long as one multiplication in a dense block, and those that any
+#: join may sum.
+PRODUCT, FEW = 1 / 200, 2e8
 #: Columns of a dense result that are sent to every task at most.
 WIDE = 100_000
 
@@ -36,8 +37,10 @@ def _worth_blocks(a: DataFrame, b: DataFrame, block: int) -> bool:
     own = a.groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n"))
     other = b.groupBy(F.col("r").alias("k")).agg(F.count("*").alias("m"))
     products = own.join(other, "k").agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0.0
-    # No pair of blocks takes less than one cell, so few products need no count of blocks.
-    if products * PRODUCT < 1e6:
+    if products <= FEW:
+        return False
+    # Times the zeros that fill a block, an infinite element would spoil others.
+    if kinds <= {"float", "double"} and a.select("v").unionAll(b.select("v")).where("isnan(v) OR abs(v) = double('infinity')").limit(1).count():
         return False
     at = lambda c: F.floor(F.col(c) / block)
     rows = a.select(at("c").alias("k"), at("r").alias("o")).distinct().groupBy("k").agg(F.count("*").alias("n"))

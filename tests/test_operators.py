@@ -293,10 +293,14 @@ def test_products_in_blocks_when_dense(spark, monkeypatch):
     a, b = np.random.default_rng(5).integers(-9, 9, (7, 6)), np.random.default_rng(6).integers(-9, 9, (6, 5))
     a[0] = 0
     want = {(r.r, r.c, r.v) for r in matrix.matmul(cells(spark, a), cells(spark, b)).collect()}
-    monkeypatch.setattr(matrix, "PRODUCT", 1e9)
+    monkeypatch.setattr(matrix, "PRODUCT", 1e-9)
+    monkeypatch.setattr(matrix, "FEW", 0)
     x, y = cells(spark, a), cells(spark, b)
     assert not matrix._worth_blocks(x.where('r < 0'), y, 4)
-    got = matrix.matmul_blocks(x, y, 4, zeros=True)
+    infinite = spark.createDataFrame([(0, 0, float("inf")), (0, 1, 1.0)], "r long, c long, v double")
+    assert not matrix._worth_blocks(infinite, infinite.withColumn("r", F.col("c")), 4)
+    assert matrix._worth_blocks(x, y, 4)
+    got = matrix.matmul(x, y, 4)
     assert {(r.r, r.c, r.v) for r in got.collect()} == want
 
 
