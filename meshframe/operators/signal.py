@@ -3,37 +3,96 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 
 FORWARD, REVERSE = 1, 0
-
-
-def _lines(grid: DataFrame, line: str, place: str, direction: int, lines: int) -> DataFrame:
-    """Transforms along one index: some lines meet in a task, each whole."""
+#: Rows in a batch of results.
+BATCH = 10_000
+
+
+def _starts(line) -> np.ndarray:
+    """Where another line begins in a sorted column; null is a line of its own."""
+    keys, none = line.fill_null(0).to_numpy(), line.is_null().to_numpy(zero_copy_only=False)
+    return np.flatnonzero((keys[1:] != keys[:-1]) | (none[1:] != none[:-1])) + 1
+
+
+def _whole(batches, line: str):
+    """Sorted batches cut between lines: lists of batches that hold whole lines, one line or the
+    short ones of a batch. Only the line that is still open is kept."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(line)
+        if held and keys[0].as_py() != key:
+            yield held
+            held = []
+        starts = _starts(keys)
+        if len(starts):
+            first, last = int(starts[0]) if held else 0, int(starts[-1])
+            if held:
+                held.append(batch.slice(0, first))
+                yield held
+                held = []
+            if first < last:
+                yield [batch.slice(first, last - first)]
+            batch = batch.slice(last)
+        held.append(batch)
+        key = keys[-1].as_py()
+    if held:
+        yield held
+
+
+def _transformed(batches, line: str, place: str, direction: int):
+    """The transforms of lines that come one after another, each in the order of its places."""
+    for found in _whole(batches, line):
+        n = sum(b.num_rows for b in found)
+        alone = found[0].column(line)[0].as_py() == found[-1].column(line)[-1].as_py()
+        keys, places = (pa.concat_arrays([b.column(x) for b in found]) for x in (line, place))
+        z = np.empty(n, np.complex128)
+        at = 0
+        for b in found:
+            z.real[at : at + b.num_rows] = b.column("re").to_numpy(zero_copy_only=False)
+            z.imag[at : at + b.num_rows] = b.column("im").to_numpy(zero_copy_only=False)
+            at += b.num_rows
+        found.clear()  # the batches go before the transform takes room
+        del b
+        ends = [0, n] if alone else [0, *_starts(keys).tolist(), n]
+        lengths = np.diff(ends)
+        # Neighbours of one length are transformed at once.
+        turns = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]
+        for a, b in zip(turns, turns[1:]):
+            part = z[ends[a] : ends[b]].reshape(b - a, -1)
+            f = np.fft.fft(part) if direction == FORWARD else np.fft.ifft(part)
+            if direction != FORWARD:
+                f *= part.shape[1]
+            part[:] = f
+            del f
+        for a in range(0, n, BATCH):
+            own = z[a : a + BATCH]
+            columns = {line: keys.slice(a, BATCH), place: places.slice(a, BATCH)}
+            columns |= {x: pa.array(np.ascontiguousarray(v), from_pandas=True) for x, v in (("re", own.real), ("im", own.imag))}
+            yield pa.RecordBatch.from_pydict({x: columns[x] for x in ("r", "c", "re", "im")})
+
+
+def _lines(grid: DataFrame, line: str, place: str, direction: int) -> DataFrame:
+    """Transforms along one index: a task gets whole lines, sorted, and holds one at a time."""
     ship(grid.sparkSession)
-
-    def run(pdf):
-        out = []
-        for key, own in pdf.sort_values([line, place]).groupby(line, sort=False):
-            z = own["re"].to_numpy() + 1j * own["im"].to_numpy()
-            f = np.fft.fft(z) if direction == FORWARD else np.fft.ifft(z) * len(z)
-            out.append(pd.DataFrame({line: key, place: own[place].to_numpy(), "re": f.real, "im": f.imag}))
-        return pd.concat(out)[["r", "c", "re", "im"]]
-
     rows = grid.select(F.col("r").cast("long"), F.col("c").cast("long"), F.col("re").cast("double"), F.col("im").cast("double"))
-    return rows.groupBy(F.floor(F.col(line) / lines)).applyInPandas(run, "r long, c long, re double, im double")
+    met = rows.repartition(line).sortWithinPartitions(line, F.asc_nulls_last(place))
+    return met.mapInArrow(lambda batches: _transformed(batches, line, place, direction), "r long, c long, re double, im double")
 
 
-def fft_rows(grid: DataFrame, direction: int = FORWARD, lines: int = 512) -> DataFrame:
-    return _lines(grid, "r", "c", direction, lines)
+def fft_rows(grid: DataFrame, direction: int = FORWARD) -> DataFrame:
+    return _lines(grid, "r", "c", direction)
 
 
-def fft_columns(grid: DataFrame, direction: int = FORWARD, lines: int = 16) -> DataFrame:
-    return _lines(grid, "c", "r", direction, lines)
+def fft_columns(grid: DataFrame, direction: int = FORWARD) -> DataFrame:
+    return _lines(grid, "c", "r", direction)
 
 
 def fft_2d(grid: DataFrame, direction: int = FORWARD) -> DataFrame:

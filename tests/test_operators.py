@@ -209,6 +209,55 @@ def test_fourier(spark):
     assert np.allclose(back(signal.fft_2d(signal.fft_2d(df), signal.REVERSE)), z * z.size)
 
 
+@pytest.mark.parametrize("direction", [signal.FORWARD, signal.REVERSE])
+@pytest.mark.parametrize("cut", [1, 3, 7, 1000])
+def test_fourier_of_lines_in_batches(spark, cut, direction):
+    r = np.random.default_rng(cut)
+    lines = {None: 6, -5: 3, 0: 1, 2: 4, 3: 4, 4: 4, 9: 23, 10: 2}
+    grid = [(k, int(3 * j - 7), *r.normal(size=2).tolist()) for k, n in lines.items() for j in range(n)]
+    df = spark.createDataFrame([grid[j] for j in r.permutation(len(grid))], "r long, c long, re double, im double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", cut)
+    try:
+        got = {(x.r, x.c): x.re + 1j * x.im for x in signal.fft_rows(df, direction).collect()}
+        turned = signal.fft_columns(df.select(F.col("c").alias("r"), F.col("r").alias("c"), "re", "im"), direction).collect()
+        assert signal.fft_rows(df.limit(0)).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(x.c, x.r): x.re + 1j * x.im for x in turned} and got.keys() == {x[:2] for x in grid}
+    for k, n in lines.items():
+        z = np.array([x[2] + 1j * x[3] for x in grid if x[0] == k])
+        want = np.fft.fft(z) if direction == signal.FORWARD else np.fft.ifft(z) * n
+        assert np.allclose([got[k, 3 * j - 7] for j in range(n)], want)
+
+
+@pytest.mark.parametrize("name", ["fft_2d_transposed"])
+def test_fourier_holds_a_line_at_a_time(spark, name):
+    rows, columns = 100_000, 16
+    spark.sparkContext.environment["MESHFRAME_TEST"] = name  # Python workers of its own
+
+    def peak(batches):
+        import resource
+        import time
+
+        import pyarrow as pa
+
+        time.sleep(1)  # so that every worker gets a task
+        yield from (pa.RecordBatch.from_pydict({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024]}) for _ in batches)
+
+    def most():
+        return spark.range(0, 4, 1, 4).mapInArrow(peak, "mb double").agg(F.max("mb")).first()[0]
+
+    try:
+        few = arrays.plane(spark, 100, columns, F.col("r") % 7).withColumnsRenamed({"v": "re"}).withColumn("im", F.lit(0.0))
+        getattr(signal, name)(few).write.format("noop").mode("overwrite").save()
+        base = most()
+        grid = arrays.plane(spark, rows, columns, F.col("r") % 7).withColumnsRenamed({"v": "re"}).withColumn("im", F.lit(0.0))
+        getattr(signal, name)(grid).write.format("noop").mode("overwrite").save()
+        assert most() - base < rows * columns * 32 / 2**20  # less than the grid, whose lines take a 16th each
+    finally:
+        del spark.sparkContext.environment["MESHFRAME_TEST"]
+
+
 def test_logs(spark, tmp_path):
     (tmp_path / "a.log").write_text("noise\nTask [2, 7]\nSubtask 4 1.5 2.5\nSubtask 5_Cancelled 2 3\nSerial Task Execution Time = 1.25\nParallel Task 6 Execution Time = 2\n")
     lines = files.read_lines(spark, str(tmp_path))
