@@ -230,7 +230,7 @@ def test_fourier_of_lines_in_batches(spark, cut, direction):
         assert np.allclose([got[k, 3 * j - 7] for j in range(n)], want)
 
 
-@pytest.mark.parametrize("name", ["fft_2d_transposed", "fft_columns"])
+@pytest.mark.parametrize("name", ["fft_2d_transposed", "fft_columns", "fft_2d"])
 def test_fourier_holds_a_line_at_a_time(spark, name):
     rows, columns = 100_000, 16
     spark.sparkContext.environment["MESHFRAME_TEST"] = name  # Python workers of its own
