@@ -230,6 +230,26 @@ def test_fourier_of_lines_in_batches(spark, cut, direction):
         assert np.allclose([got[k, 3 * j - 7] for j in range(n)], want)
 
 
+def _grown(spark, name, run):
+    """Peak MB of the largest of the Python workers that are called name, after a run."""
+
+    def peak(batches):
+        import resource
+        import time
+
+        import pyarrow as pa
+
+        time.sleep(1)  # so that every worker gets a task
+        yield from (pa.RecordBatch.from_pydict({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024]}) for _ in batches)
+
+    spark.sparkContext.environment["MESHFRAME_TEST"] = name
+    try:
+        run().write.format("noop").mode("overwrite").save()
+        return spark.range(0, 4, 1, 4).mapInArrow(peak, "mb double").agg(F.max("mb")).first()[0]
+    finally:
+        del spark.sparkContext.environment["MESHFRAME_TEST"]
+
+
 @pytest.mark.parametrize("name", ["fft_2d_transposed", "fft_columns", "fft_2d"])
 def test_fourier_holds_a_line_at_a_time(spark, name):
     rows, columns = 100_000, 16
@@ -258,6 +278,40 @@ def test_fourier_holds_a_line_at_a_time(spark, name):
         del spark.sparkContext.environment["MESHFRAME_TEST"]
 
 
+@pytest.mark.parametrize("direction", [signal.FORWARD, signal.REVERSE])
+@pytest.mark.parametrize("n", [101, 127, 128, 202, 1009, 1024, 1200, 2018, 4999])
+def test_fourier_of_a_line_through_files(n, direction):
+    import pyarrow as pa
+
+    r = np.random.default_rng(n)
+    lengths = {-1: 4, 0: n, 1: 100, 5: n, 6: 1, None: n}
+    keys = [k for k, m in lengths.items() for _ in range(m)]
+    places = [3 * j - 7 if j < m - 2 else None for m in lengths.values() for j in range(m)]
+    z = r.normal(size=len(keys)) + 1j * r.normal(size=len(keys))
+    for cut in (7, 250):
+        table = pa.table({"r": pa.array(keys, pa.int64()), "c": pa.array(places, pa.int64()), "re": z.real.copy(), "im": z.imag.copy()})
+        got = pa.Table.from_batches(signal._transformed(table.to_batches(cut), "r", "c", direction, 100, 64))
+        assert got["r"].to_pylist() == keys and got["c"].to_pylist() == places
+        at = 0
+        for m in lengths.values():
+            own = z[at : at + m]
+            want = np.fft.fft(own) if direction == signal.FORWARD else np.fft.ifft(own) * m
+            assert np.allclose(got["re"].to_numpy()[at : at + m] + 1j * got["im"].to_numpy()[at : at + m], want)
+            at += m
+
+
+@pytest.mark.parametrize("name", ["fft_columns"])
+@pytest.mark.parametrize("rows", [1_000_000, 999_983])
+def test_fourier_holds_a_part_of_a_long_line(spark, monkeypatch, name, rows):
+    columns = 4
+    monkeypatch.setattr(signal, "LINE", 100_000, raising=False)
+    monkeypatch.setattr(signal, "BLOCK", 1 << 15, raising=False)
+    few, grid = (arrays.plane(spark, n, columns, F.col("r") * F.col("r") % 7 + F.col("c")).withColumnsRenamed({"v": "re"}).withColumn("im", F.lit(0.0)) for n in (100, rows))
+    base = _grown(spark, f"{name} {rows}", lambda: getattr(signal, name)(few))
+    most = _grown(spark, f"{name} {rows}", lambda: getattr(signal, name)(grid))
+    assert most - base < rows * 64 / 2**20  # the numbers of a line and their transform take 32 bytes a place, its rows 32
+
+
 def test_logs(spark, tmp_path):
     (tmp_path / "a.log").write_text("noise\nTask [2, 7]\nSubtask 4 1.5 2.5\nSubtask 5_Cancelled 2 3\nSerial Task Execution Time = 1.25\nParallel Task 6 Execution Time = 2\n")
     lines = files.read_lines(spark, str(tmp_path))
