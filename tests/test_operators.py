@@ -300,7 +300,7 @@ def test_fourier_of_a_line_through_files(n, direction):
             at += m
 
 
-@pytest.mark.parametrize("name", ["fft_columns"])
+@pytest.mark.parametrize("name", ["fft_columns", "fft_2d"])
 @pytest.mark.parametrize("rows", [1_000_000, 999_983])
 def test_fourier_holds_a_part_of_a_long_line(spark, monkeypatch, name, rows):
     columns = 4
@@ -312,6 +312,24 @@ def test_fourier_holds_a_part_of_a_long_line(spark, monkeypatch, name, rows):
     assert most - base < rows * 64 / 2**20  # the numbers of a line and their transform take 32 bytes a place, its rows 32
 
 
+def test_fourier_2d_of_long_lines(spark, monkeypatch):
+    monkeypatch.setattr(signal, "LINE", 20, raising=False)
+    monkeypatch.setattr(signal, "BLOCK", 16, raising=False)
+    z = np.random.default_rng(5).normal(size=(37, 48, 2)) @ [1, 1j]
+    df = spark.createDataFrame([(r, c, float(z[r, c].real), float(z[r, c].imag)) for r in range(37) for c in range(48)], "r long, c long, re double, im double")
+
+    def back(f):
+        got = np.full(z.shape, np.nan, complex)
+        for x in f.collect():
+            got[x.r, x.c] = x.re + 1j * x.im
+        return got
+
+    once = signal.fft_2d(df)
+    assert np.allclose(back(once), np.fft.fft2(z))
+    assert np.allclose(back(signal.fft_2d(once, signal.REVERSE)), z * z.size)
+    assert np.allclose(back(signal.fft_2d_transposed(df)), np.fft.fft2(z))
+
+
 def test_logs(spark, tmp_path):
     (tmp_path / "a.log").write_text("noise\nTask [2, 7]\nSubtask 4 1.5 2.5\nSubtask 5_Cancelled 2 3\nSerial Task Execution Time = 1.25\nParallel Task 6 Execution Time = 2\n")
     lines = files.read_lines(spark, str(tmp_path))
